@@ -17,9 +17,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_golay import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts}
+    found = (op3_token_counts, op4_line_dedup, op10_simhash_golay)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup
+
+    return {"op4_line_dedup": line_dedup.ORACLE}
