@@ -106,26 +106,29 @@ def split_texts(batches):
                 yield rows.slice(k, 20_000)
 
 
-SUMS = "batch long, place int, doc_id long, n_bytes long, n_tokens long"
+#: Of one batch, what a task has summed: the places that it has, and their sums (unsigned, 16 and 64 bits).
+SUMS = "batch long, places binary, sums binary, ids binary, sizes binary, nulls binary"
 
 
 def sum_places(path: str):
-    schema = pa.schema([("batch", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    """Counts each distinct pre-token once, in rows sorted by key, and sums the counts by batch and place. A batch's sums
+    are one row: a document's sum is spread over at most as many rows as it has distinct pre-tokens."""
+    schema = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("places", "sums", "ids", "sizes", "nulls"))])
 
     def passed(sums):
         for number, total in sums.items():
             place = np.flatnonzero(total)
-            none = pa.nulls(len(place), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), number)), pa.array(place.astype(np.int32)), none, none, pa.array(total[place])], schema=schema)
+            parts = (number, place.astype(np.uint16).tobytes(), total[place].tobytes(), None, None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(parts, schema.types, strict=True)], schema=schema)
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         last: tuple[str | None, int] = (None, 0)
         for rows in batches:
             own = rows.filter(rows.column("key").is_null())
-            for number, ids, sizes, nulls in zip(*(own.column(c).to_pylist() for c in ("batch", "ids", "sizes", "nulls")), strict=True):
-                ids, sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, mask=np.frombuffer(nulls, bool)), pa.array(sizes), pa.array(np.zeros(len(ids), np.int64))], schema=schema)
+            if own.num_rows:
+                none = pa.nulls(own.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("batch"), none, none, *(own.column(c).cast(pa.binary()) for c in ("ids", "sizes", "nulls"))], schema=schema)
             rows = rows.filter(rows.column("key").is_valid())
             if not rows.num_rows:
                 continue
@@ -152,10 +155,34 @@ def sum_places(path: str):
     return run
 
 
+def sum_batches(batches):
+    """The sums of each document, from rows sorted by batch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    total, docs, last = np.zeros(BATCH, np.int64), None, None
+
+    def rows():
+        ids, sizes, nulls = docs
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes), pa.array(total[: len(ids)])], schema=schema)
+
+    for batch in batches:
+        for number, places, sums, ids, sizes, nulls in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if number != last:
+                if last is not None:
+                    yield rows()
+                total, docs, last = np.zeros(BATCH, np.int64), None, number
+            if ids is None:
+                np.add.at(total, np.frombuffer(places, np.uint16), np.frombuffer(sums, np.int64))
+            else:
+                docs = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(nulls, bool)
+    if last is not None:
+        yield rows()
+
+
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each document; model: path of a sentencepiece file
     on every worker."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = over(rows, split_texts, PARTS).repartition("key", "salt", F.when(F.col("key").isNull(), F.col("batch"))).sortWithinPartitions("key")
-    sums = over(parts, sum_places(model), SUMS).groupBy("batch", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sums = over(parts, sum_places(model), SUMS).repartition("batch").sortWithinPartitions("batch")
+    found = over(sums, sum_batches, "doc_id long, n_bytes long, n_tokens long")
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)
