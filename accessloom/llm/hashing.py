@@ -9,7 +9,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes hashed at once; longer batches are worked through in blocks of whole texts.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,12 +23,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_powers: dict = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, U)
-    if n:
+    if len(_powers.get(base, ())) < n:
+        out = np.full(max(n, BLOCK), base, U)
         out[0] = U(1)
-    return np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > BLOCK:
+            return out
+        _powers[base] = out
+    return _powers[base][:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +98,13 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[:-k]) * powers(BASE_INV, n - k + 1))
 
 
+def char_counts(data: np.ndarray) -> np.ndarray:
+    """Characters that begin before each byte, and at the end all of them."""
+    out = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
