@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+#: The key of the query's surrogates; a deployment passes its own secret.
+KEY = b"accessloom surrogate key of the test corpus"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import with_surrogates
+
+    return with_surrogates(table(spark, sf_dir, "documents"), KEY, "n_entities").select("doc_id", "text", "n_entities")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +52,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_token_counts, op4_line_dedup, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
+    found = (op2_pii_surrogates, op3_token_counts, op4_line_dedup, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
     return {f.__name__: f for f in found}
 
 
