@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import over
 
-#: Documents to a batch: their places in it fit 16 bits.
-BATCH = 32768
+#: Documents to a batch at most (their places in it fit 16 bits), and bytes of text unless one text alone has more.
+BATCH, BATCH_BYTES = 32768, 24 << 20
 #: A pre-token that a batch holds more often than this is hot: its rows are dealt over SALTS groups.
 HOT, SALTS = 256, 64
 #: Batches whose sums a task holds before it passes them on.
@@ -56,21 +56,34 @@ def count_keys(keys: list[str], path: str) -> np.ndarray:
 
 
 def batch_keys(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Of each pre-token of the texts: the place of its text, and its key."""
+    """Of each pre-token of the texts: the place of its text (16 bits), and its key."""
     lined = pc.replace_substring(texts, "\n", " \n")
     odd = pc.or_(pc.or_(pc.match_substring(lined, "  "), pc.match_substring(lined, "▁")), pc.or_(pc.starts_with(lined, " "), pc.ends_with(lined, " ")))
     filled = pc.greater(pc.binary_length(texts), 0)
     plain = np.flatnonzero(pc.and_(filled, pc.invert(odd)).to_numpy(zero_copy_only=False))
-    parts = pc.split_pattern(lined.take(pa.array(plain)), " ")
-    at = [np.repeat(plain, pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
+    parts = pc.split_pattern(lined if len(plain) == len(lined) else lined.take(pa.array(plain)), " ")
+    del lined
+    at = [np.repeat(plain.astype(np.uint16), pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
     keys = [parts.flatten()]
+    del parts
     for i in np.flatnonzero(pc.and_(filled, odd).to_numpy(zero_copy_only=False)):
         found = pieces_by_line(texts[int(i)].as_py())
-        at.append(np.full(len(found), i))
+        at.append(np.full(len(found), i, np.uint16))
         keys.append(pa.array(found, texts.type))
     return np.concatenate(at), pa.chunked_array(keys, texts.type).combine_chunks() if len(keys) > 1 else keys[0]
 
 
+def parted(texts: pa.Array):
+    """Ranges of texts that make a batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right"))
+        to = min(max(at + 1, fits), at + BATCH)
+        yield at, to
+        at = to
+
+
 PARTS = "key string, salt int, batch long, places binary, ids binary, sizes binary, nulls binary"
 
 
@@ -79,10 +92,10 @@ def split_texts(batches):
     task, n = TaskContext.get().partitionId(), 0
     schema = pa.schema([("key", pa.string()), ("salt", pa.int32()), ("batch", pa.int64()), ("places", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("nulls", pa.binary())])
     for whole in batches:
-        for start in range(0, whole.num_rows, BATCH):
-            batch = whole.slice(start, BATCH)
+        for start, stop in parted(whole.column(1)):
+            batch = whole.slice(start, stop - start)
             number, n = (task << 32) | n, n + 1
-            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            texts = batch.column(1).fill_null("")
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(([None], [n % SALTS], [number], [None], [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], [pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], [ids.is_null().to_numpy(zero_copy_only=False).tobytes()]), schema.types)],
@@ -92,18 +105,21 @@ def split_texts(batches):
             if not len(at):
                 continue
             coded = keys.dictionary_encode()
+            del keys
             codes = coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(codes, kind="stable")
             counts = np.bincount(codes, minlength=len(coded.dictionary))
-            places = at[order].astype(np.uint16).tobytes()
+            places = at[np.argsort(codes, kind="stable")].tobytes()
             bounds = np.concatenate([[0], np.cumsum(counts)]) * 2
-            distinct = coded.dictionary.cast(pa.string())
+            distinct = coded.dictionary
+            del coded, codes, at, texts, batch
             held = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(places)])
             salt = np.where(counts > HOT, n % SALTS, 0).astype(np.int32)
             none = pa.nulls(len(counts), pa.binary())
             rows = pa.RecordBatch.from_arrays([distinct, pa.array(salt), pa.array(np.full(len(counts), number)), held, none, none, none], schema=schema)
             for k in range(0, rows.num_rows, 20_000):
                 yield rows.slice(k, 20_000)
+            del rows, held, distinct, places
+            pa.default_memory_pool().release_unused()
 
 
 #: Of one batch, what a task has summed: the places that it has, and their sums (unsigned, 16 and 64 bits).
