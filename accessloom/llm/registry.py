@@ -33,6 +33,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed_pieces
+
+    return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_matches
 
@@ -52,7 +60,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_pii_surrogates, op3_token_counts, op4_line_dedup, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
+    found = (op2_pii_surrogates, op3_token_counts, op4_line_dedup, op6_curve_packing, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
     return {f.__name__: f for f in found}
 
 
