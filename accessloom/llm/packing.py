@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document becomes a hashed vector (damped word counts over BUCKETS hash buckets, of unit length), projected to DIMS
+Each document becomes a hashed vector (damped word counts over 2**BUCKET_BITS hash buckets, of unit length), projected to DIMS
 Gaussian directions; each coordinate is spread evenly by the normal distribution function and cut to BITS bits, and the
 cell's number on the Hilbert curve is the document's key. Documents are range-sorted by (key, doc_id), so a key held by very many
 documents still spreads over tasks; within each range they are tokenised and laid end to end into sequences of SIZE
@@ -16,6 +16,8 @@ included. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from array import array
 
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import over
-from .hashing import U, blocks, lowered, span_hashes, text_bytes, word_spans
+from .hashing import U, blocks, mix, text_bytes
 
 SIZE, END = 2048, 1
-BUCKETS, DIMS, BITS = 1024, 4, 8
+BUCKET_BITS, DIMS, BITS = 10, 4, 8
 #: Runs of characters whose ids a worker remembers.
-HELD = 500_000
+HELD = 600_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,23 +64,41 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def word_buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash bucket of each word (by its first eight bytes, letters' case ignored), and the bounds of each text's words."""
+    inside = data > 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edge = bounds[1:-1]
+    edge = edge[edge < len(data)]
+    begins[edge] = inside[edge]
+    starts = np.flatnonzero(begins)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    code, on = np.zeros(len(starts), U), np.ones(len(starts), bool)
+    for k in range(8):
+        c = padded[starts + k]
+        on &= c > 32
+        code = code << U(8) | np.where(on, c | 32, 0).astype(U)
+    return (mix(code) >> U(64 - BUCKET_BITS)).astype(np.int64), np.searchsorted(starts, bounds)
+
+
 def curve_keys(texts: pa.Array) -> np.ndarray:
-    directions = np.random.default_rng(6).standard_normal((BUCKETS, DIMS))
+    directions = np.random.default_rng(6).standard_normal((1 << BUCKET_BITS, DIMS))
     whole, offsets = text_bytes(texts)
     out = np.zeros(len(texts), np.int64)
     for lo, hi in blocks(offsets):
-        data = lowered(whole[offsets[lo] : offsets[hi]])
-        starts, ends, of_text = word_spans(data, offsets[lo : hi + 1] - offsets[lo])
-        bucket = (span_hashes(data, starts, ends) % U(BUCKETS)).astype(np.int64)
+        bucket, of_text = word_buckets(whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         step = 2000  # texts at a time: their counts are a matrix
         for a in range(0, hi - lo, step):
             b = min(a + step, hi - lo)
             sizes = np.diff(of_text[a : b + 1])
-            cell = np.repeat(np.arange(b - a), sizes) * BUCKETS + bucket[of_text[a] : of_text[b]]
-            counts = np.log1p(np.bincount(cell, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS))
-            norm = np.sqrt((counts * counts).sum(axis=1))
-            z = counts @ directions / np.where(norm, norm, 1)[:, None]
-            spread = 1 / (1 + np.exp(-1.702 * z))
+            cell = (np.repeat(np.arange(b - a), sizes) << BUCKET_BITS) + bucket[of_text[a] : of_text[b]]
+            counts = np.bincount(cell, minlength=(b - a) << BUCKET_BITS).reshape(b - a, -1)
+            row, at = np.nonzero(counts)
+            damped = np.log1p(counts[row, at])
+            norm = np.sqrt(np.bincount(row, weights=damped * damped, minlength=b - a))
+            z = np.stack([np.bincount(row, weights=damped * directions[at, d], minlength=b - a) for d in range(DIMS)], axis=1)
+            spread = 1 / (1 + np.exp(-1.702 * z / np.where(norm, norm, 1)[:, None]))
             out[lo + a : lo + b] = hilbert(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
     return out
 
@@ -88,6 +108,17 @@ def key_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(curve_keys(batch.column(1)))], names=["doc_id", "text", "curve"])
 
 
+def _ranges(kinds: str) -> str:
+    """The characters of a general category in the range that PLAIN covers, for a character class."""
+    return "".join(map(re.escape, (c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] in kinds)))
+
+
+#: Runs of these alone are cut here as the library cuts them: no character composes, decomposes or changes length.
+PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+#: The vocabulary's pre-tokens, in such runs (fixed: the pattern of its file).
+_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^{_ranges('LN')}]+")
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to the library's own."""
 
@@ -96,38 +127,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, runs) -> None:
-        new = [x for x in runs if x not in self.known]
-        if new:
-            if len(self.known) + len(new) > HELD:
-                self.known = {}
-                new = list(runs)
-            for i in range(0, len(new), 5000):
-                part = new[i : i + 5000]
-                for x, e in zip(part, self.tokenizer.encode_batch_fast([y.decode() for y in part], add_special_tokens=False), strict=True):
-                    self.known[x] = array("I", e.ids).tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        runs = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, runs))
-        except KeyError:
-            self.learn(set(runs))
-            return b"".join(map(self.known.__getitem__, runs))
+        self.words: dict[str, bytes] = {}
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: these bytes stand for themselves
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {**{b: b for b in visible}, **{b: 256 + i for i, b in enumerate(hidden)}}
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            found = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
+        return found
+
+    def run(self, run: bytes) -> bytes:
+        text = run.decode()
+        if (run.isascii() and text.isprintable() or PLAIN.fullmatch(text)) and "<|" not in text:
+            return b"".join(map(self.word, _PRE.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def batch(self, texts: list[bytes]):
-        """Ids of each text; the runs of some megabytes are learnt together."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < 4 << 20):
-                size += len(texts[to])
-                to += 1
-            self.learn({x for text in texts[at:to] for x in text.split()})
-            yield from map(self.ids, texts[at:to])
-            at = to
+        """Ids of each text."""
+        for text in texts:
+            runs = text.split()
+            try:
+                yield b"".join(map(self.known.__getitem__, runs))
+            except KeyError:
+                if len(self.known) > HELD:
+                    self.known = {}
+                if len(self.words) > HELD:
+                    self.words = {}
+                for x in runs:
+                    if x not in self.known:
+                        self.known[x] = self.run(x)
+                yield b"".join(map(self.known.__getitem__, runs))
 
 
 _encoders: dict[str, Encoder] = {}
