@@ -33,6 +33,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import licences
+
+    return licences(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +66,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_pii_surrogates, op3_token_counts, op4_line_dedup, op6_curve_packing, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
+    found = (op2_pii_surrogates, op3_token_counts, op4_line_dedup, op5_license_scan, op6_curve_packing, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
     return {f.__name__: f for f in found}
 
 
