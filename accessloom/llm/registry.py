@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 #: The key of the query's surrogates; a deployment passes its own secret.
 KEY = b"accessloom surrogate key of the test corpus"
 
@@ -66,7 +72,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_pii_surrogates, op3_token_counts, op4_line_dedup, op5_license_scan, op6_curve_packing, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
+    found = (op1_quality_outliers, op2_pii_surrogates, op3_token_counts, op4_line_dedup, op5_license_scan, op6_curve_packing, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
     return {f.__name__: f for f in found}
 
 
