@@ -6,8 +6,11 @@ cell's number on the Hilbert curve is the document's key. Documents are range-so
 documents still spreads over tasks; within each range they are tokenised and laid end to end into sequences of SIZE
 tokens, cut where a sequence is full. Only the last sequence of a range can be padded.
 
-White space never lies within a token of the vocabulary's pre-tokens, so each run between ASCII white space is encoded once
-and remembered (a bounded store in each worker).
+White space never lies within the vocabulary's pre-tokens, so each of them is encoded once and remembered (a bounded store in
+each worker).
+
+The ranges come from a sample of SAMPLE documents (for their bounds alone; every document is packed) and hold like amounts of
+text, so that long documents, which lie close together, do not meet in one task.
 
 Contract: a null text counts as empty: its only token is the end id. Every row gives its pieces, repeated rows and null ids
 included. Other columns are ignored. An empty table gives no rows.
@@ -23,6 +26,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +36,10 @@ from .hashing import U, blocks, mix, text_bytes
 
 SIZE, END = 2048, 1
 BUCKET_BITS, DIMS, BITS = 10, 4, 8
-#: Runs of characters whose ids a worker remembers.
+#: Words whose ids a worker remembers.
 HELD = 600_000
+#: Documents of the sample for the ranges, and ranges to a shuffle partition.
+SAMPLE, RANGES = 20_000, 2
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -103,9 +109,32 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def key_rows(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(curve_keys(batch.column(1)))], names=["doc_id", "text", "curve"])
+def key_rows(bounds: np.ndarray | None):
+    """doc_id, text and key of each document, and its range: of equal bounds at its key, one that its id picks."""
+
+    def run(batches):
+        for batch in batches:
+            keys = curve_keys(batch.column(1))
+            if bounds is None:
+                size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), size], names=["curve", "size"])
+                continue
+            first, last = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+            pick = mix(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) % (last - first + 1).astype(U)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array((first + pick.astype(np.int64)).astype(np.int32))], names=["doc_id", "text", "curve", "part"])
+
+    return run
+
+
+def range_bounds(rows: DataFrame, parts: int, sample: int) -> np.ndarray:
+    """Upper bounds of all ranges but the last, by the text that a bounded sample has below them."""
+    n = rows.count()
+    some = rows if n <= sample else rows.sample(sample / n, seed=6)
+    found = over(some, key_rows(None), "curve long, size long").limit(2 * sample).toPandas().sort_values("curve")
+    if found.empty:
+        return np.empty(0, np.int64)
+    total = (found["size"] + 100).cumsum().to_numpy()
+    return found["curve"].to_numpy()[np.searchsorted(total, total[-1] * np.arange(1, parts) / parts)]
 
 
 def _ranges(kinds: str) -> str:
@@ -113,10 +142,27 @@ def _ranges(kinds: str) -> str:
     return "".join(map(re.escape, (c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] in kinds)))
 
 
-#: Runs of these alone are cut here as the library cuts them: no character composes, decomposes or changes length.
-PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+")
-#: The vocabulary's pre-tokens, in such runs (fixed: the pattern of its file).
-_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^{_ranges('LN')}]+")
+#: Characters that the library might compose, decompose or cut in another way than the pattern below; texts with these are cut
+#: into runs between white space, and runs with them are encoded by the library itself.
+ODD = re.compile("[^\t-\r -~\xa1-\xac\xae-\u012f\u0131-\u024f]|<\\|")
+#: The vocabulary's pre-tokens in all other texts (fixed: the pattern of its file).
+_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_ranges('L')}]+|[{_ranges('N')}]|[^\t-\r {_ranges('LN')}]+")
+
+
+class Words(dict):
+    """Ids of words, encoded when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: these bytes stand for themselves
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {**{b: b for b in visible}, **{b: 256 + i for i, b in enumerate(hidden)}}
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        found = self[word] = array("I", [t.id for t in tokens]).tobytes()
+        return found
 
 
 class Encoder:
@@ -127,41 +173,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: these bytes stand for themselves
-        hidden = [b for b in range(256) if b not in visible]
-        self.letters = {**{b: b for b in visible}, **{b: 256 + i for i, b in enumerate(hidden)}}
+        self.words = Words(self.tokenizer.model)
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            found = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
-        return found
+    def ids(self, text: str) -> bytes:
+        if len(self.words) > HELD:
+            self.words.clear()
+        if ODD.search(text):
+            return b"".join(map(self.run, text.encode().split()))
+        return b"".join(map(self.words.__getitem__, _PRE.findall(text.lower())))
 
     def run(self, run: bytes) -> bytes:
         text = run.decode()
-        if (run.isascii() and text.isprintable() or PLAIN.fullmatch(text)) and "<|" not in text:
-            return b"".join(map(self.word, _PRE.findall(text.lower())))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def batch(self, texts: list[bytes]):
-        """Ids of each text."""
-        for text in texts:
-            runs = text.split()
-            try:
-                yield b"".join(map(self.known.__getitem__, runs))
-            except KeyError:
-                if len(self.known) > HELD:
-                    self.known = {}
-                if len(self.words) > HELD:
-                    self.words = {}
-                for x in runs:
-                    if x not in self.known:
-                        self.known[x] = self.run(x)
-                yield b"".join(map(self.known.__getitem__, runs))
+        if ODD.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, _PRE.findall(text.lower())))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -179,7 +204,7 @@ def packed(path: str, size: int, end: int):
         sequence, used = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), (encoder.ids(x or "") for x in batch.column(1).to_pylist()), strict=True):
                 ids += last
                 n, start = len(ids) // 4, 0
                 while start < n:
@@ -197,6 +222,7 @@ def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
     """A row for each piece of a document in a sequence: start and length in the document's ids, the CRC-32 of its ids, all
     the document's tokens, its sequence and its place there. vocabulary: path of a tokenizers file on every worker."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = over(rows, key_rows, "doc_id long, text string, curve long")
-    ranged = keyed.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = over(rows, key_rows(range_bounds(rows, parts, SAMPLE)), "doc_id long, text string, curve long, part int")
+    ranged = keyed.repartition("part").sortWithinPartitions("part", "curve", "doc_id", "text")
     return over(ranged.select("doc_id", "text"), packed(vocabulary, size, end), PIECES)

@@ -48,6 +48,20 @@ def test_pieces_rebuild_every_document(spark):
     assert short <= 4
 
 
+def test_a_hot_key_spreads_over_ranges():
+    import pyarrow as pa
+
+    bounds = np.array([5, 7, 7, 7, 7, 9])
+    keys, packing_keys = np.full(1000, 7), packing.curve_keys
+    try:
+        packing.curve_keys = lambda texts: keys
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x"] * 1000)], names=["doc_id", "text"])
+        parts = next(packing.key_rows(bounds)([batch])).column(3).to_numpy()
+    finally:
+        packing.curve_keys = packing_keys
+    assert set(parts) == {1, 2, 3, 4, 5} and np.bincount(parts).max() < 300
+
+
 def test_empty_table_and_neighbours(spark):
     assert packing.packed_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
     import pyarrow as pa
