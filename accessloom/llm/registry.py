@@ -53,6 +53,12 @@ def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gam import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_matches
 
@@ -71,8 +77,14 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_outliers, op2_pii_surrogates, op3_token_counts, op4_line_dedup, op5_license_scan, op6_curve_packing, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay)
+    found = (op1_quality_outliers, op2_pii_surrogates, op3_token_counts, op4_line_dedup, op5_license_scan, op6_curve_packing, op7_quality_gam, op8_edit_decontamination, op9_suffix_dedup, op10_simhash_golay, pipeline)
     return {f.__name__: f for f in found}
 
 
