@@ -13,7 +13,7 @@ from ..schemas import KEYS
 def merge_pair(base: DataFrame, over: DataFrame, table: str) -> DataFrame:
     """R-93: over's row wins where base has none or an older one; equal times keep base's."""
     key = KEYS[table]
-    side = lambda df, n: df.select(*key, F.struct(*df.columns).alias(n))
+    side = lambda df, n: df.select(*key, F.struct(*base.columns).alias(n))
     both = side(base, "b").join(side(over, "o"), key, "full_outer")
     wins = F.col("b").isNull() | (F.col("o.discovered_at") > F.col("b.discovered_at"))
     return both.select(F.when(wins & F.col("o").isNotNull(), F.col("o")).otherwise(F.col("b")).alias("row")).select("row.*")

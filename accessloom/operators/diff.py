@@ -24,7 +24,7 @@ def payload(df: DataFrame, table: str) -> Column:
 def changes(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
     """R-90: created, deleted and modified rows: the new row, or of deleted ones the old, and change."""
     key = KEYS[table]
-    side = lambda df, n: df.select(*key, payload(df, table).alias(f"{n}_payload"), F.struct(*df.columns).alias(n))
+    side = lambda df, n: df.select(*key, payload(df, table).alias(f"{n}_payload"), F.struct(*new.columns).alias(n))
     both = side(old, "old").join(side(new, "new"), key, "full_outer")
     change = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(~F.col("old_payload").eqNullSafe(F.col("new_payload")), "modified")
     both = both.withColumn("change", change).where(F.col("change").isNotNull())
@@ -55,4 +55,4 @@ def linked_runs(old_run: DataFrame, upsert_id: str, deletion_id: str) -> DataFra
 def applied(base: DataFrame, gone: DataFrame, ups: DataFrame, table: str) -> DataFrame:
     """base after a difference."""
     key = KEYS[table]
-    return base.join(gone.select(*key).union(ups.select(*key)), key, "left_anti").unionByName(ups)
+    return base.join(gone.select(*key).union(ups.select(*key)), key, "left_anti").select(*base.columns).unionByName(ups.select(*base.columns))
