@@ -171,3 +171,20 @@ def invalid(edge_table: DataFrame, entitlements: DataFrame) -> DataFrame:
     known = entitlements.select(F.col("external_id").alias("known"))
     lost = lambda c: edge_table.join(known, F.col(c) == F.col("known"), "left_anti").select("src", "dst", F.lit(f"unknown {c}").alias("problem"))
     return lost("src").union(lost("dst")).union(edge_table.where("src = dst").select("src", "dst", F.lit("self").alias("problem")))
+
+
+def shared_sources(edge_table: DataFrame, fan_out: int = 16) -> DataFrame:
+    """R-80: source entitlements of so many edges: those whose grants are worth writing once, before they are read by each."""
+    n = edge_table.groupBy("src").agg(F.count(F.lit(1)).alias("edges"))
+    return n.where(F.col("edges") >= fan_out)
+
+
+def bound(edge_table: DataFrame, n: int, digest: int) -> DataFrame:
+    """R-87: edges for keeping beside a snapshot, bound to the digest of the grants that they came from."""
+    return edge_table.withColumns({"grants": F.lit(n), "digest": F.lit(digest)})
+
+
+def rebound(stored: DataFrame, n: int, digest: int) -> DataFrame | None:
+    """R-87: kept edges, or None where the grants have changed since."""
+    kept = stored.select("grants", "digest").distinct().limit(2).collect()
+    return stored.drop("grants", "digest") if [tuple(r) for r in kept] == [(n, digest)] else None

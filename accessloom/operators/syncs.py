@@ -95,3 +95,16 @@ def resumable(sync_runs: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """R-134: the latest unfinished run that began within the window."""
     fresh = F.col("started_at") > now - F.make_dt_interval(F.lit(days))
     return sync_runs.where(F.col("ended_at").isNull() & fresh).orderBy(F.desc("started_at"), F.desc("sync_id")).limit(1)
+
+
+def parent_first(sync_runs: DataFrame, depth: int = 64) -> DataFrame:
+    """R-132: runs with their place: a parent before its children, else by id. Runs are few: the rounds stop at the deepest chain."""
+    known = sync_runs.select(F.col("sync_id").alias("known"))
+    rows = sync_runs.join(known, F.col("parent_sync_id") == F.col("known"), "left")
+    level = rows.where("known is null").select("sync_id", F.lit(0).alias("level"))
+    out, n = level, 0
+    while not level.isEmpty() and n < depth:
+        n += 1
+        level = rows.join(level.select(F.col("sync_id").alias("known")), "known").select("sync_id", F.lit(n).alias("level"))
+        out = out.union(level)
+    return out

@@ -725,6 +725,134 @@ def json_arguments(spark, d):
     return df.select("event_id", "k", F.array_join(records.problems([records.Rule("k", required=True, least=10, most=50)]), ",").alias("problems"))
 
 
+@query("SELECT eid AS src, '' AS dst, 'unknown src' AS problem FROM entitlements WHERE false UNION ALL SELECT src, eid, 'unknown src' FROM grants WHERE src LIKE 'nation:%' AND CAST(split_part(src, ':', 2) AS INTEGER) % 4 = 0")
+def graph_invalid(spark, d):
+    g = new(spark, d)
+    known = g.entitlements.where("not (resource_type_id = 'nation' and cast(resource_id as int) % 4 = 0)")
+    return graph.invalid(graph.edges(g.grants, g.entitlements), known)
+
+
+@query("SELECT 'missing_source' AS reason, count(*) AS n FROM grants WHERE src LIKE 'nation:%' AND CAST(split_part(src, ':', 2) AS INTEGER) % 4 = 0")
+def graph_dropped_edges(spark, d):
+    g = new(spark, d)
+    known = g.entitlements.where("not (resource_type_id = 'nation' and cast(resource_id as int) % 4 = 0)")
+    bad = graph.judged_rules(g.grants, known).where("verdict <> 'ok'").withColumnRenamed("verdict", "reason")
+    return stats.dropped_edges(bad).drop("examples")
+
+
+@query(", f AS (SELECT src, count(*) AS edges FROM grants WHERE src IS NOT NULL GROUP BY 1) SELECT src, edges FROM f WHERE edges >= 1")
+def graph_shared_sources(spark, d):
+    g = new(spark, d)
+    return graph.shared_sources(graph.edges(g.grants, g.entitlements), 1)
+
+
+@query("SELECT 'nation' AS child_type_id, rt AS parent_type_id, rid AS parent_id FROM resources WHERE rt = 'region' AND rid <> '2'")
+def unscheduled_children(spark, d):
+    planned = lookups.child_schedule(new(spark, d).resources)
+    return invariants.unscheduled_children(planned, planned.where("parent_id = '2' or child_type_id = 'region'"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS cursor_id FROM events WHERE event_id % 3 <> 0", plain=True)
+def undrained_cursors(spark, d):
+    cursors = star.events(spark, d).select(F.col("event_id").alias("cursor_id"))
+    return invariants.undrained(cursors, cursors.where("cast(cursor_id as int) % 3 = 0"))
+
+
+@query("SELECT unnest(['a','b','c','d']) AS sync_id, unnest([1,0,2,0])::INT AS level", plain=True)
+def runs_parent_first(spark, d):
+    df = spark.createDataFrame([("a", "b"), ("b", None), ("c", "a"), ("d", "gone")], "sync_id string, parent_sync_id string")
+    return syncs.parent_first(star.conform(df, "sync_runs"))
+
+
+@query("SELECT gid AS external_id FROM grants WHERE pt <> 'supplier' AND rt = 'region'")
+def ingest_valid_records(spark, d):
+    own = scans.where(new(spark, d).grants, resource_type_id="region")
+    broken = own.withColumn("principal_resource_id", F.when(F.col("principal_resource_type_id") == "supplier", F.lit("")).otherwise(F.col("principal_resource_id")))
+    return ingest.valid_records(broken, PRINCIPAL)[0].select("external_id")
+
+
+@query("SELECT rt AS resource_type_id, count(*) AS n FROM resources WHERE rt <> 'supplier' GROUP BY 1")
+def ingest_discovered_resources(spark, d):
+    g = new(spark, d)
+    return stats.count_by_type(ingest.discovered_resources(g.resources, scheduled(g)))
+
+
+@query("SELECT rt AS resource_type_id, rid AS resource_id, CASE WHEN rt = 'nation' THEN lower(name) ELSE name END AS display_name FROM resources WHERE NOT (rt = 'customer' AND CAST(rid AS INTEGER) % 50 = 7)")
+def diff_applied(spark, d):
+    g = new(spark, d)
+    later = renamed(g)
+    out = diff.applied(g.resources, diff.deletions(g.resources, later, "resources"), diff.upserts(g.resources, later, "resources"), "resources")
+    return out.select(*RESOURCE, "display_name")
+
+
+@query("SELECT 'up' AS sync_id, 'partial_upserts' AS sync_type, 'r11' AS parent_sync_id, 'del' AS linked_sync_id UNION ALL SELECT 'del', 'partial_deletions', 'r11', 'up'", plain=True)
+def diff_linked_runs(spark, d):
+    return diff.linked_runs(runs(spark).where("sync_id = 'r11'"), "up", "del").select("sync_id", "sync_type", "parent_sync_id", "linked_sync_id")
+
+
+@query("SELECT 'page' || page_id AS external_id, CASE WHEN page_id % 2 = 0 THEN 'text/plain' ELSE 'text/html' END AS content_type, md5(CASE WHEN page_id % 2 = 0 THEN 'redacted' ELSE '' END) AS content FROM pages WHERE page_id % 3 = 0", plain=True)
+def assets_sanitised(spark, d):
+    p = star.read(spark, d, "pages")
+    stored = star.conform(p.select(F.lit(NEW).alias("sync_id"), F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("external_id"), F.when(F.col("page_id") % 2 == 0, "text/plain").otherwise("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("data")), "assets")
+    asked = p.where("page_id % 3 = 0").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("external_id"))
+    own = scans.get_many(stored, asked).withColumn("data", sanitize.placeholder(F.col("content_type")))
+    return own.select("external_id", "content_type", F.md5("data").alias("content"))
+
+
+@query("SELECT DISTINCT 'conv' AS row_kind, CAST(conv_id AS VARCHAR) AS scope_key FROM conversations WHERE conv_id % 4 = 0", plain=True)
+def source_cache_hits(spark, d):
+    c = star.read(spark, d, "conversations").select(F.lit("conv").alias("row_kind"), F.col("conv_id").cast("string").alias("scope_key"), F.lit("v1").alias("validator")).distinct()
+    manifest = c.withColumn("validator", F.when(F.col("scope_key").cast("int") % 4 == 0, "v1").otherwise("v2"))
+    return lookups.source_cache_hits(c, manifest).select("row_kind", "scope_key")
+
+
+@query("SELECT 'turn/' || turn AS key, conv_id % 2 = 1 AS odd, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1, 2", plain=True)
+def session_values(spark, d):
+    c = star.read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("sync_id"), F.concat(F.lit("turn/"), F.col("turn").cast("string")).alias("key"), F.encode("text", "UTF-8").alias("value"))
+    now = feed.session_put(c, c.where("cast(sync_id as int) % 3 = 0").withColumn("value", F.lit(None).cast("binary")))
+    return now.groupBy("key", (F.col("sync_id").cast("int") % 2 == 1).alias("odd")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT external_id, json_extract_string(to_json({'id': external_id, 'trait': trait}), '$.id') AS id FROM resource_types")
+def json_rows(spark, d):
+    own = new(spark, d).resource_types
+    return own.select("external_id", F.get_json_object(F.to_json(F.struct(*own.columns)), "$.external_id").alias("id"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'balance' WHEN c_mktsegment = 'BUILDING' THEN 'exclusive' ELSE '' END AS problems FROM customer WHERE NOT (c_acctbal < 0 AND c_mktsegment = 'BUILDING')", plain=True)
+def configuration_rules(spark, d):
+    c = star.read(spark, d, "customer").where("not (c_acctbal < 0 and c_mktsegment = 'BUILDING')")
+    c = c.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_mktsegment") == "BUILDING", 1).alias("a"), F.lit(1).alias("b"))
+    checks = records.problems([records.Rule("balance", required=True, least=0)], {"exclusive": records.relation("exclusive", ["a", "b"])})
+    return c.select("k", F.array_join(checks, ",").alias("problems"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'none' AS note, CAST(json_extract_string(props, '$.k') AS BIGINT) IN (1, 2, 3) AS valid FROM events", plain=True)
+def ticket_fields(spark, d):
+    e = star.read(spark, d, "events")
+    p = F.col("props")
+    return e.select("event_id", records.ticket_field(p, "k", "bigint").alias("k"), records.ticket_field(p, "note", "string", "none").alias("note"), records.ticket_valid(p, "k", "bigint", True, (1, 2, 3)).alias("valid"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS score, CASE WHEN p_size % 2 = 1 THEN p_type ELSE '' END AS severity FROM part", plain=True)
+def insights(spark, d):
+    p = star.read(spark, d, "part")
+    risk = F.when(F.col("p_size") % 2 == 0, F.struct(F.col("p_name").alias("value"), F.col("p_size").alias("normalized_score"), F.col("p_brand").alias("source_score")))
+    issue = F.when(F.col("p_size") % 2 == 1, F.struct(F.col("p_name").alias("value"), F.col("p_type").alias("severity")))
+    p = p.withColumn("i", F.struct(risk.alias("risk_score"), issue.alias("issue")))
+    return p.select(F.col("p_partkey").alias("k"), records.normalized_score(F.col("i")).alias("score"), records.severity(F.col("i")).alias("severity"))
+
+
+@query("SELECT n_nationkey AS k, 2 + (n_nationkey % 2 = 0)::INT AS n, n_nationkey % 2 = 0 AS has, n_name AS picked FROM nation", plain=True)
+def annotation_lists(spark, d):
+    n = star.read(spark, d, "nation")
+    one = lambda kind, value: F.struct(F.lit(kind).alias("type_url"), value.alias("value"))
+    n = n.withColumn("a", F.array(one("name", F.col("n_name")), one("key", F.col("n_nationkey").cast("string"))))
+    updated = records.annotation_update(F.col("a"), one("name", F.col("n_name")))
+    n = n.withColumn("a", F.when(F.col("n_nationkey") % 2 == 0, records.annotation_update(F.col("a"), one("even", F.lit("yes")))).otherwise(updated))
+    return n.select(F.col("n_nationkey").alias("k"), F.size("a").alias("n"), records.annotation_contains(F.col("a"), "even").alias("has"), records.annotation_pick(F.col("a"), "name")["value"].alias("picked"))
+
+
 # The feed.
 
 

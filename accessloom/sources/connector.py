@@ -32,6 +32,11 @@ def retried(call, tries: int = 5, wait: float = 0.1):
             time.sleep(wait * 2**n)
 
 
+def too_many_warnings(warnings: int, actions: int) -> bool:
+    """R-166: a collection is given up with over ten warnings that are over a tenth of its actions."""
+    return warnings > 10 and warnings * 10 > actions
+
+
 class Scope(InputPartition):
     def __init__(self, kind: str, parent: str):
         self.kind, self.parent = kind, parent
