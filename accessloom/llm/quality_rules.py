@@ -33,6 +33,8 @@ H, STARTS, STEPS, LEAST = 0.75, 3, 4, 100
 #: Squared distance beyond which a document is rejected: the chi-square quantile of this probability.
 SURE = 1 - 1e-6
 PER_OCTAVE, BINS = 8, 240
+#: Rows of estimates (some 400 bytes each) that are broadcast at most.
+FEW = 10_000
 UNIT = 1000
 
 #: The transformed statistics, and the least deviation that counts as one (added to the variance, squared).
@@ -110,9 +112,15 @@ def estimate(df: DataFrame, scale: float, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(f"m{i}" for i in range(D)), *(f"l{i}{j}" for i in range(D) for j in range(i + 1)), logdet.alias("logdet"))
 
 
+def sized(state: DataFrame) -> DataFrame:
+    """state, to be broadcast if it has few rows: then vectors are not shuffled by a group's key, which a third of them may share.
+    A larger one is left to Spark, which splits skewed joins."""
+    return F.broadcast(state) if state.limit(FEW + 1).count() <= FEW else state
+
+
 def nearest(members: DataFrame, state: DataFrame) -> DataFrame:
     """Moments of the H share of each group's vectors that are nearest under each of its states."""
-    distance = members.join(state, "key").withColumn("d", squared_distance())
+    distance = members.join(sized(state), "key").withColumn("d", squared_distance())
     bins = distance.select("key", "start", F.least(F.floor(PER_OCTAVE * F.log2(1 + F.col("d") * 4)), F.lit(BINS)).alias("bin"), *(f"x{i}" for i in range(D))).groupBy("key", "start", "bin").agg(*moments())
     upto = W.partitionBy("key", "start").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("key", "start")
@@ -127,16 +135,16 @@ def robust_estimates(members: DataFrame) -> DataFrame:
     xs = [f"x{i}" for i in range(D)]
     middle = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(xs)))
     middle = cut(middle)
-    spread = members.join(middle, "key").groupBy("key").agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"v{i}") for i, x in enumerate(xs)))
+    spread = members.join(sized(middle), "key").groupBy("key").agg(*(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"v{i}") for i, x in enumerate(xs)))
     deviation = [F.sqrt(F.pow(1.4826 * F.col(f"v{i}") / UNIT, 2) + FLOORS[i] ** 2) for i in range(D)]
     central = middle.join(spread, "key").select("key", F.lit(0).alias("start"), *((F.col(f"m{i}") / UNIT).alias(f"m{i}") for i in range(D)), *((deviation[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)), F.lit(0.0).alias("logdet"))
-    some = members.join(middle.select("key", F.greatest(F.floor(F.col("size") / (10 * D)), F.lit(1)).alias("every")), "key")
+    some = members.join(sized(middle.select("key", F.greatest(F.floor(F.col("size") / (10 * D)), F.lit(1)).alias("every"))), "key")
     some = some.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(1, STARTS)]))).where(F.pmod(F.xxhash64("pick", "start"), "every") == 0)
     state = cut(central.unionByName(estimate(some.groupBy("key", "start").agg(*moments()), 1.0, ["key", "start"])))
     for _ in range(STEPS):
         state = cut(estimate(nearest(members, state), SCALE, ["key", "start"]))
-    best = state.groupBy("key").agg(F.min_by(F.struct(*(c for c in state.columns if c != "key")), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
-    within = members.join(best, "key").where(squared_distance() <= chi2_quantile(0.975, D)).select("key", *xs)
+    best = cut(state.groupBy("key").agg(F.min_by(F.struct(*(c for c in state.columns if c != "key")), F.struct("logdet", "start")).alias("b")).select("key", "b.*"))
+    within = members.join(sized(best), "key").where(squared_distance() <= chi2_quantile(0.975, D)).select("key", *xs)
     return cut(estimate(within.groupBy("key").agg(*moments()), 0.975 / chi2_cdf(chi2_quantile(0.975, D), D + 2), ["key"]))
 
 
@@ -156,9 +164,9 @@ def quality(docs: DataFrame) -> DataFrame:
     wanted = groups.select("key").distinct()
     # A vector counts for its own group, and for its language's and the whole where a small group needs these.
     parts = sound.select("doc_id", F.explode(F.array(pair, lang, every)).alias("key"), F.xxhash64("doc_id", "n_words", "word_chars").alias("pick"), *(f"x{i}" for i in range(D)))
-    members = cut(parts.join(wanted, "key").drop("doc_id"))
+    members = cut(parts.join(sized(wanted), "key").drop("doc_id"))
     found = robust_estimates(members).drop("logdet").join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").where(f"size >= {LEAST}").drop("size")
-    judged = rows.join(groups.join(found, "key", "left"), ["lang", "source"], "left")
+    judged = rows.join(sized(cut(groups.join(found, "key", "left"))), ["lang", "source"], "left")
     distance = squared_distance()
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CUTOFF)
     return judged.select(*(c for c in shown if c not in ("lang", "source")), "base_failed", kept.alias("kept"), distance.alias("distance"))
