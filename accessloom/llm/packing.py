@@ -38,8 +38,8 @@ SIZE, END = 2048, 1
 BUCKET_BITS, DIMS, BITS = 10, 4, 8
 #: Words whose ids a worker remembers.
 HELD = 600_000
-#: Documents of the sample for the ranges, and ranges to a shuffle partition.
-SAMPLE, RANGES = 20_000, 2
+#: Documents of the sample for the ranges.
+SAMPLE = 20_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -222,7 +222,7 @@ def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
     """A row for each piece of a document in a sequence: start and length in the document's ids, the CRC-32 of its ids, all
     the document's tokens, its sequence and its place there. vocabulary: path of a tokenizers file on every worker."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = over(rows, key_rows(range_bounds(rows, parts, SAMPLE)), "doc_id long, text string, curve long, part int")
-    ranged = keyed.repartition("part").sortWithinPartitions("part", "curve", "doc_id", "text")
+    ranged = keyed.repartitionById(parts, "part").sortWithinPartitions("curve", "doc_id", "text")
     return over(ranged.select("doc_id", "text"), packed(vocabulary, size, end), PIECES)
