@@ -5,8 +5,8 @@ features in turn and gives each a shallow tree over its bins, fitted to the pres
 feature's lookup table. Then the pairs whose best cross cut gains most on what is left are boosted the same way over coarser bins.
 A score is the logistic of the intercept and the table entries of a text's bins: additions over arrays.
 
-Training: labelled documents whose crc32(doc_id) mod FOLDS is not HELD, at most MAX_ROWS of them (those of the least hashed id), are
-collected by the driver: a bounded sample, some MB. Everything else covers all documents.
+Training: labelled documents whose crc32(doc_id) mod FOLDS is not HELD, about MAX_ROWS of them if there are more (those whose hashed
+id falls below the share that gives as many), are collected by the driver: a bounded sample, some MB. Everything else covers all documents.
 
 Contract: a null text counts as empty and is scored like any other. Labels that are null or without a document are left out; a
 document labelled more than once counts as often. Without labels all scores are 0.5. Every row of documents gives a row, repeated
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, over
 from .text_stats import add_stats
 
-FOLDS, HELD, MAX_ROWS = 4, 2, 40_000
+FOLDS, HELD, MAX_ROWS, SPREAD = 4, 2, 40_000, 1 << 40
 BINS, COARSE, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES, LEAST = 120, 60, 0.1, 3, 5.0
 
@@ -171,7 +171,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     stats = add_stats(docs, [F.col("doc_id").cast("long").alias("doc_id")])
     rows = cut(stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *feature_columns()))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    taken = rows.where("not held_out").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES, "quality").limit(max_rows).select(*FEATURES, "quality").toPandas()
+    labelled = rows.where("not held_out").join(known, "doc_id").select(*FEATURES, "quality", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("place"))
+    n = labelled.count()
+    taken = labelled.where(F.col("place") < int(SPREAD * min(1.0, max_rows / max(n, 1)))).limit(2 * max_rows).toPandas().sort_values(["place", *FEATURES, "quality"])
     model = train(taken[list(FEATURES)].to_numpy(float), taken["quality"].to_numpy(float))
     scored = over(rows, score_rows(model), "doc_id long, held_out boolean, score double")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
