@@ -148,3 +148,28 @@ def licences(docs: DataFrame) -> DataFrame:
         F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
         "matches",
     )
+
+
+def oracle() -> str:
+    """The same rows by comparing every place of every text, as SQL."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE.items())
+    templates = ", ".join(f"('{p['label']}', {quoted(p['words'])}, {quoted(p['key'].split())}, {p['key_at']})" for p in template_index()[2])
+    held = "contains(s, ' ' || array_to_string({0}, ' ') || ' ')"
+    places = "unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len({0})] = {0}))"
+    share = "list_sum(list_transform(range(len(words)), lambda j: CASE WHEN b + j >= 0 AND w[b + j + 1] = words[j + 1] THEN 1 ELSE 0 END)) / len(words)"
+    return f"""
+WITH t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM (SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)),
+phrase(label, p) AS (VALUES {phrases}),
+template(label, words, key, key_at) AS (VALUES {templates}),
+hit AS (SELECT doc_id, label, {places.format("p")} AS i FROM t, phrase WHERE {held.format("p")}),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM hit GROUP BY 1),
+begun AS (SELECT doc_id, label, words, w, {places.format("key")} - key_at AS b FROM t, template WHERE {held.format("key")}),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM (SELECT doc_id, label, {share} AS share FROM begun) WHERE share >= {MATCHED} GROUP BY 1)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  greatest(coalesce(best, 0.0), CASE WHEN n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM t LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -89,6 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup
+    from . import license_scan, line_dedup
 
-    return {"op4_line_dedup": line_dedup.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.oracle()}
