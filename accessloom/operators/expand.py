@@ -78,14 +78,17 @@ def run(grants: DataFrame, entitlements: DataFrame, shape: G.Plan, only: set[int
     # Rows of destinations are read once for each layer: by a filter that the scan of a written table can use.
     own = written(grants.join(placed.select("entitlement_id", "layer"), "entitlement_id"))
     rest = grants.join(targets, "entitlement_id", "left_anti")
-    current = rest
+    # Of all other rows only those of sources are read again with each layer.
+    senders = nodes.join(every.select(F.col("from").alias("node")).distinct(), "node", "left_semi").select("entitlement_id")
+    current, out = written(rest.join(senders, "entitlement_id", "left_semi")), rest
     layers = sorted({layer for *_, layer in rows})
     for layer in layers:
         given = contributions(current, nodes, every.where(F.col("layer") == layer)).withColumnRenamed("to", "node")
         given = given.join(placed.where(F.col("layer") == layer).select("node", "entitlement_id"), "node").drop("node")
         existing = own.where(F.col("layer") == layer).select(*grants.columns)
-        current = current.unionByName(written(merged(existing, given, entitlements)))
-    return Expanded(current, "full", len(layers))
+        done = written(merged(existing, given, entitlements))
+        current, out = current.unionByName(done), out.unionByName(done)
+    return Expanded(out, "full", len(layers))
 
 
 def expand(grants: DataFrame, entitlements: DataFrame, depth: int | None = DEPTH) -> Expanded:
