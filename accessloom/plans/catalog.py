@@ -790,13 +790,13 @@ def diff_linked_runs(spark, d):
     return diff.linked_runs(runs(spark).where("sync_id = 'r11'"), "up", "del").select("sync_id", "sync_type", "parent_sync_id", "linked_sync_id")
 
 
-@query("SELECT 'page' || page_id AS external_id, CASE WHEN page_id % 2 = 0 THEN 'text/plain' ELSE 'text/html' END AS content_type, md5(CASE WHEN page_id % 2 = 0 THEN 'redacted' ELSE '' END) AS content FROM pages WHERE page_id % 3 = 0", plain=True)
+@query("SELECT 'page' || page_id AS external_id, CASE WHEN page_id % 2 = 0 THEN 'Image/webp' ELSE 'text/html' END AS content_type, length(hex(CASE WHEN page_id % 2 = 0 THEN repeat('x', 68) ELSE 'x' END)) // 2 AS bytes FROM pages WHERE page_id % 3 = 0", plain=True)
 def assets_sanitised(spark, d):
     p = star.read(spark, d, "pages")
-    stored = star.conform(p.select(F.lit(NEW).alias("sync_id"), F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("external_id"), F.when(F.col("page_id") % 2 == 0, "text/plain").otherwise("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("data")), "assets")
+    stored = star.conform(p.select(F.lit(NEW).alias("sync_id"), F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("external_id"), F.when(F.col("page_id") % 2 == 0, "Image/webp").otherwise("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("data")), "assets")
     asked = p.where("page_id % 3 = 0").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("external_id"))
     own = scans.get_many(stored, asked).withColumn("data", sanitize.placeholder(F.col("content_type")))
-    return own.select("external_id", "content_type", F.md5("data").alias("content"))
+    return own.select("external_id", "content_type", F.octet_length("data").cast("long").alias("bytes"))
 
 
 @query("SELECT DISTINCT 'conv' AS row_kind, CAST(conv_id AS VARCHAR) AS scope_key FROM conversations WHERE conv_id % 4 = 0", plain=True)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The columns of the export, in order.
-HEADERS = ("Row Type", "Last Name", "First Name", "User ID", "User Status", "Email Address", "Entitlement Display Name", "Entitlement", "Resource Type", "Resource Name", "Entitlement Description", "Entitlement Slug")
-COLUMNS = tuple(h.lower().replace(" ", "_") for h in HEADERS)
+HEADERS = ("Type", "Last Name", "First Name", "User ID", "User Status", "Email Address", "Entitlement Display Name", "Entitlement", "Resource Type", "Resource Name", "Entitlement Description", "Entitlement Slug")
+COLUMNS = ("row_type", *(h.lower().replace(" ", "_") for h in HEADERS[1:]))
 
 
 def status_name(status: Column) -> Column:
