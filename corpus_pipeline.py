@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from accessloom.llm.common import cut, table
 from accessloom.llm.decontaminate import without_benchmark
+from accessloom.llm.near_copies import first_of_each
 from accessloom.llm.packing import packed_pieces
 from accessloom.llm.pii import with_surrogates
 from accessloom.llm.quality_rules import kept_rows
-from accessloom.llm.simhash_golay import one_of_each
 
 #: The key of the surrogates; a deployment passes its own secret.
 KEY = b"accessloom surrogate key of the test corpus"
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return first_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
