@@ -38,13 +38,13 @@ def fresh_grants(grants: DataFrame, scheduled: DataFrame) -> DataFrame:
 
 def narrowed_expansions(grants: DataFrame, scheduled: DataFrame) -> DataFrame:
     """R-40: type filters without types that are not collected; a filter that nothing remains of ends the expansion (an
-    empty one would let all through). The types are a handful: one row, joined as a literal array."""
-    types = [r[0] for r in scheduled.select("external_id").limit(10_000).collect()]
-    kept = F.array_intersect("expansion.resource_type_ids", F.array(*map(F.lit, types)).cast("array<string>"))
+    empty one would let all through). All types are one row, joined to every grant."""
+    types = scheduled.agg(F.collect_set(F.col("external_id").cast("string")).alias("_types"))
+    kept = F.array_intersect("expansion.resource_type_ids", "_types")
     was = F.coalesce(F.size("expansion.resource_type_ids"), F.lit(0))
     none = F.lit(None).cast(grants.schema["expansion"].dataType)
     new = F.when((was > 0) & (F.size(kept) == 0), none).when(was > 0, F.col("expansion").withField("resource_type_ids", kept)).otherwise(F.col("expansion"))
-    return grants.withColumn("expansion", new).withColumn("needs_expansion", F.col("needs_expansion") & F.col("expansion").isNotNull())
+    return grants.crossJoin(types).withColumn("expansion", new).drop("_types").withColumn("needs_expansion", F.col("needs_expansion") & F.col("expansion").isNotNull())
 
 
 def discovered_resources(found: DataFrame, scheduled: DataFrame) -> DataFrame:
