@@ -217,6 +217,8 @@ class Replacer:
 
     def family(self, name: str, kind: str = "family") -> str:
         listed = {x for names in NAMES.values() for x in names}
+        if name.lower() in listed:  # no cycle of spellings holds it as valid, so walking on would meet another's surrogate
+            return self.given(name, "")
         keep = min(2 if name[-1:].lower() in "аоя" or name[-3:].lower() in ("ова", "ева") else 1, max(0, len(name) - 2))
         return self.s.spelled(f"{kind}{keep}", name, keep, lambda x: x not in listed)
 
