@@ -29,11 +29,14 @@ def ready(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the folder that the cluster shares: its lineage ends there and survives lost executors.
 
-    The folder is spark.checkpoint.dir; where that is unset (tests, a single machine) one is set.
+    The folder is spark.checkpoint.dir; where that is unset and all runs in one JVM (tests), one is set. Elsewhere its lack is
+    an error: executors would write to their own disks.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
@@ -41,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """wanted, with as many underscores added as no column of taken has (names are compared as Spark does, without case)."""
+    held = {c.lower() for c in taken}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import license_scan, line_dedup
 
-    return {"op4_line_dedup": line_dedup.ORACLE, "op5_license_scan": license_scan.oracle()}
+    return {"op4_line_dedup": line_dedup.oracle(), "op5_license_scan": license_scan.oracle()}
