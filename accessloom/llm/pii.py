@@ -11,27 +11,33 @@ Collision checks walk on along the cycle while a number is no valid surrogate (a
 the original's does, an address of another class, a name that a list holds), which keeps both properties. surrogate_collisions()
 verifies them over a whole corpus. Nothing is gathered or shuffled to replace: it is a map over documents.
 
-Names are replaced where a title shows them ("Mr. John Smith", "Frau Anna Schulz", "г-жа Иванова"): a listed given name by one of
-the same gender and script, other names letter by letter (vowels by vowels, consonants by consonants) with the endings that
-tell gender in many languages kept.
+Names are replaced where a title shows them ("Mr. John Smith", "Frau Anna Schulz", "г-жа Иванова") and wherever else the same text
+has one of their parts: a listed given name by one of the same gender and script, other names letter by letter (vowels by
+vowels, consonants by consonants, letters of other scripts by letters of their kind) with the endings that tell gender in
+many languages kept. A part of a name has one surrogate, whether it stands first, last or alone.
+
+Digits of every script count by their value, so equal numbers get equal surrogates, and each stays in its own script. What has no
+other value of its format becomes its kind in brackets.
 
 Contract: a null text stays null; texts of any length are searched whole; every row gives a row, all columns kept, n_chars (if
-there) recounted. An empty table gives no rows.
+there, and a whole number) recounted. A column for the count whose name is taken gets underscores. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections import OrderedDict
+from functools import lru_cache
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import over
+from .common import free_name, over
 
 # Given names by script and gender, titles by gender.
 NAMES = {
@@ -58,11 +64,31 @@ _NUMBER = re.compile(r"""
   | (?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?)(?![\w-])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-]))
 """, re.X)
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|rk|ghp|gho|xox[abp])[-_][0-9A-Za-z_-]{16,128}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])")
-_DIGIT = re.compile("[0-9]")
+_DIGIT = re.compile(r"\d")
 _HEX = re.compile(r"[0-9a-f]{32}|[0-9A-F]{32}")
-_TITLED = re.compile(r"(?<!\w)(" + "|".join(t for ts in TITLES.values() for t in ts) + r")(\.?[  ])([^\W\d_][^\W\d_]+(?:[  -][A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+)?)")
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_TITLED = re.compile(r"(?<!\w)(" + "|".join(t for ts in TITLES.values() for t in ts) + "(?!\\w))(\\.?[  ])([^\\W\\d_]{2,})(?:([  -])([^\\W\\d_]{2,}))?")
+_TITLES = [t for ts in TITLES.values() for t in ts]
+LISTED = {x for names in NAMES.values() for x in names}
 _ALIKE = {c: letters for letters in LETTERS for c in letters} | {c: "0123456789" for c in "0123456789"}
+#: Characters of a block of letters, for the scripts that LETTERS lacks.
+SPAN = 256
+
+
+def steady(c: str) -> bool:
+    """Whether the capital of a letter leads back to it."""
+    return len(c.upper()) == 1 and c.upper().lower() == c
+
+
+@lru_cache(4096)
+def alike(c: str) -> str:
+    """The characters that may stand for c (in lower case): for letters of other scripts, those of the same block, script and kind."""
+    if c in _ALIKE:
+        return _ALIKE[c]
+    if not c.isalpha():
+        return c
+    kind = lambda x: (unicodedata.category(x), unicodedata.name(x, "").partition(" ")[0], steady(x), x.lower() == x, x in _ALIKE)
+    first = ord(c) // SPAN * SPAN
+    return "".join(x for x in map(chr, range(first, first + SPAN)) if kind(x) == kind(c))
 
 
 class Surrogates:
@@ -125,7 +151,7 @@ class Surrogates:
         """text with each letter or digit replaced by one of its like, the case and the last `keep` letters kept."""
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         last = len(low) - keep
-        alphabets = [_ALIKE.get(c, c) if i < last else c for i, c in enumerate(low)]
+        alphabets = [alike(c) if i < last else c for i, c in enumerate(low)]
         out = self.replaced(kind, low, alphabets, valid)
         return "".join(b.upper() if a != c and len(b.upper()) == 1 else b for a, b, c in zip(text, out, low, strict=True))
 
@@ -143,14 +169,33 @@ def address_class(octets: list[int]) -> str:
     return "own" if a == 10 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32) else "loop" if a == 127 else "zero" if a == 0 else "many" if a >= 224 else "open"
 
 
+def is_digit(c: str) -> bool:
+    return c.isdecimal()
+
+
+def plain_digits(text: str) -> str:
+    """text with the digits of all scripts as 0-9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if is_digit(c) else c for c in text)
+
+
+def digits_of(text: str) -> str:
+    return plain_digits("".join(filter(is_digit, text)))
+
+
+def like(digit: str, c: str) -> str:
+    """digit in the script of the digit c; other characters as they are."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(digit)) if not c.isascii() and is_digit(c) and is_digit(digit) else digit
+
+
 def fill(shape: str, chars: str, variable) -> str:
     """shape with its variable characters replaced in turn by chars."""
     rest = iter(chars)
-    return "".join(next(rest) if variable(c) else c for c in shape)
+    return "".join(like(next(rest), c) if variable(c) else c for c in shape)
 
 
-def is_digit(c: str) -> bool:
-    return c in "0123456789"
+def is_address(text: str) -> bool:
+    parts = text.split(".")
+    return all(str(int(x)) == x and int(x) < 256 for x in parts)
 
 
 class Replacer:
@@ -164,34 +209,37 @@ class Replacer:
         return f"{self.s.spelled('local', local)}@{host}.{labels[-1]}"
 
     def ip(self, text: str) -> str:
-        octets = [int(x) for x in text.split(".")]
-        if max(octets) > 255:
-            return fill(text, self.s.replaced("dotted", d := "".join(filter(is_digit, text)), ["0123456789"] * len(d)), is_digit)
+        plain = plain_digits(text)
+        if not is_address(plain):  # no address, nor is what replaces it
+            digits = digits_of(text)
+            return fill(text, self.s.replaced("dotted" + re.sub("[0-9]", "0", plain), digits, ["0123456789"] * len(digits), lambda d: not is_address(fill(plain, d, is_digit))), is_digit)
+        octets = [int(x) for x in plain.split(".")]
         kind = address_class(octets)
         x = int.from_bytes(bytes(octets), "big")
         while True:
             x = self.s.follower("ip", 1 << 32, x)
             octets = list(x.to_bytes(4, "big"))
             if address_class(octets) == kind:
-                return ".".join(map(str, octets))
+                return "".join(like(c, text[0]) for c in ".".join(map(str, octets)))
 
     def card(self, text: str) -> str:
-        digits = "".join(filter(is_digit, text))
+        digits = digits_of(text)
         holds = luhn(digits)
         tail = self.s.replaced(f"card{digits[0]}{holds}", digits[1:], ["0123456789"] * (len(digits) - 1), lambda t: luhn(digits[0] + t) == holds)
         return fill(text, digits[0] + tail, is_digit)
 
     def ssn(self, text: str) -> str:
-        return fill(text, self.s.replaced("ssn", d := "".join(filter(is_digit, text)), ["0123456789"] * len(d)), is_digit)
+        digits = digits_of(text)
+        return fill(text, self.s.replaced("ssn", digits, ["0123456789"] * len(digits)), is_digit)
 
     def phone(self, text: str) -> str:
         head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
         cut = head.end() if head else 0
-        digits = "".join(filter(is_digit, text[cut:]))
+        digits = digits_of(text[cut:])
         return text[:cut] + fill(text[cut:], self.s.replaced("phone", digits, ["0123456789"] * len(digits)), is_digit)
 
     def iban(self, text: str) -> str:
-        plain = text.replace(" ", "")
+        plain = plain_digits(text).replace(" ", "")
         country, check, account = plain[:2], plain[2:4], plain[4:]
         holds = iban_check(country, account) == check
         new = self.s.replaced(f"iban{country}{holds}", account, ["0123456789" if is_digit(c) else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in account], lambda t: holds or iban_check(country, t) != check)
@@ -206,28 +254,23 @@ class Replacer:
         sets = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         return text[:cut] + self.s.replaced("token" + text[:cut], text[cut:], [next((a for a in sets if c in a), c) for c in text[cut:]])
 
-    def given(self, name: str, gender: str) -> str:
+    def family(self, name: str) -> str:
+        """The surrogate of a part of a name: of its list if it is listed, else letter by letter, never a listed one."""
         low = name.lower()
         for (script, sex), names in NAMES.items():
-            if low in names and sex == (gender or sex):
+            if low in names:
                 order = sorted(names, key=lambda x: hmac.digest(self.s.key, f"{script}{sex}{x}".encode(), "sha256"))
                 out = order[(order.index(low) + 1) % len(order)]
-                return out.title() if name[:1].isupper() else out
-        return self.family(name, "given")
-
-    def family(self, name: str, kind: str = "family") -> str:
-        listed = {x for names in NAMES.values() for x in names}
-        if name.lower() in listed:  # no cycle of spellings holds it as valid, so walking on would meet another's surrogate
-            return self.given(name, "")
-        keep = min(2 if name[-1:].lower() in "аоя" or name[-3:].lower() in ("ова", "ева") else 1, max(0, len(name) - 2))
-        return self.s.spelled(f"{kind}{keep}", name, keep, lambda x: x not in listed)
-
-    def titled(self, m: re.Match) -> str:
-        title, gap, name = m.groups()
-        parts = re.split(r"([  -])", name)
-        gender = _GENDER[title]
-        new = self.given(parts[0], gender) if len(parts) > 1 else self.family(parts[0])
-        return title + gap + new + (parts[1] + self.family(parts[2]) if len(parts) > 1 else "")
+                return out.upper() if len(name) > 1 and name.isupper() else out.title() if name[:1].isupper() else out
+        keep = min(2 if low[-1:] in ("а", "о", "я") else 1, max(0, len(name) - 2))
+        return self.s.spelled(f"name{keep}", name, keep, lambda x: x not in LISTED)
+
+    def titled(self, m: re.Match) -> tuple[int, str, list[str]]:
+        """Where the name ends, its surrogate with the title, and its parts."""
+        title, gap, first, joint, second = m.groups()
+        if second and not second[0].islower():
+            return m.end(), title + gap + self.family(first) + joint + self.family(second), [first, second]
+        return m.end(3), title + gap + self.family(first), [first]
 
     def entities(self, text: str):
         """(kind, start, end, surrogate) of all entities, none within another."""
@@ -237,12 +280,19 @@ class Replacer:
         found += [("secret", m.start(), m.end(), self.secret(m[0])) for m in _SECRET.finditer(text)]
         if _DIGIT.search(text):
             found += [(m.lastgroup, m.start(), m.end(), getattr(self, m.lastgroup)(m[0])) for m in _NUMBER.finditer(text)]
-        if any(t in text for t in _GENDER):
-            found += [("name", m.start(), m.end(), self.titled(m)) for m in _TITLED.finditer(text)]
+        if any(t in text for t in _TITLES):
+            parts: set[str] = set()
+            for m in _TITLED.finditer(text):
+                end, new, own = self.titled(m)
+                found.append(("name", m.start(), end, new))
+                parts.update(x for x in own if not x[0].islower())
+            if parts:  # the same names where no title shows them
+                again = re.compile(r"(?<![\w@.])(?:" + "|".join(map(re.escape, sorted(parts))) + r")(?!\w|@)")
+                found += [("name", m.start(), m.end(), self.family(m[0])) for m in again.finditer(text)]
         end = 0
         for kind, a, b, new in sorted(found, key=lambda x: (x[1], -x[2])):
             if a >= end:
-                yield kind, a, b, new
+                yield kind, a, b, new if new != text[a:b] else f"[{kind}]"
                 end = b
 
     def text(self, text: str | None) -> tuple[str | None, int]:
@@ -256,10 +306,20 @@ class Replacer:
         return "".join([*out, text[at:]]), n
 
 
+#: The setting that has a deployment's own secret, and the key of the test corpus, which stands in where it is not set.
+SETTING, TEST_KEY = "spark.accessloom.surrogates.key", "accessloom surrogate key of the test corpus"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    return spark.conf.get(SETTING, TEST_KEY).encode()
+
+
 def with_surrogates(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
     """docs with surrogates in text; n_chars recounted; count: name of a column to add with the number of entities."""
     names = docs.columns
     at = names.index("text")
+    recount = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.IntegralType)
+    count = count and free_name(count, names)
 
     def run(batches):
         replacer = Replacer(key)
@@ -267,7 +327,7 @@ def with_surrogates(docs: DataFrame, key: bytes, count: str | None = None) -> Da
             new = [replacer.text(x) for x in batch.column(at).to_pylist()]
             cols = list(batch.columns)
             cols[at] = pa.array([x for x, _ in new], pa.string())
-            if "n_chars" in names:
+            if recount:
                 k = names.index("n_chars")
                 cols[k] = pa.array([None if x is None else len(x) for x, _ in new], batch.schema.types[k])
             fields = [pa.field(f.name, c.type) for f, c in zip(batch.schema, cols)]
@@ -294,7 +354,14 @@ def entity_rows(docs: DataFrame, key: bytes) -> DataFrame:
 
 def surrogate_collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """Surrogates that stand for more than one entity, or for themselves; none, unless the scheme is broken. Entities that
-    differ in case or punctuation alone are one."""
-    plain = lambda c: F.lower(F.regexp_replace(c, "[^\\p{L}\\p{N}@]", ""))
-    pairs = entity_rows(docs, key).select("kind", plain("entity").alias("entity"), plain("surrogate").alias("surrogate")).distinct()
+    differ in case alone are one; other ways to write an entity have surrogates written the same way."""
+    pairs = entity_rows(docs, key).where("surrogate <> concat('[', kind, ']')").select("kind", F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate")).distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity")).where("n > 1 or entity = surrogate")
+
+
+def checked_surrogates(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
+    """with_surrogates(), after a check of all entities of docs for collisions. The error names their kinds alone."""
+    kinds = [r.kind for r in surrogate_collisions(docs, key).select("kind").distinct().collect()]
+    if kinds:
+        raise ValueError(f"surrogates collide: {', '.join(sorted(kinds))}")
+    return with_surrogates(docs, key, count)

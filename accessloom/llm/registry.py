@@ -15,14 +15,10 @@ def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
-#: The key of the query's surrogates; a deployment passes its own secret.
-KEY = b"accessloom surrogate key of the test corpus"
-
-
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import with_surrogates
+    from .pii import checked_surrogates, key_of
 
-    return with_surrogates(table(spark, sf_dir, "documents"), KEY, "n_entities").select("doc_id", "text", "n_entities")
+    return checked_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), "n_entities")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,9 +37,9 @@ def test_kinds_keep_their_format():
 
 def test_names_match_gender_and_script_and_refer_alike():
     r = pii.Replacer(KEY)
-    out, n = r.text("Mrs. Mary Jones met Mr John Brown; Mrs Jones and г-жа Анна Иванова left. Plain Mary stays")
-    assert n == 4
-    woman, man, again, other = re.search(r"Mrs\. (\w+ \w+) met Mr (\w+ \w+); Mrs (\w+) and г-жа (\w+ \w+) left\. Plain Mary", out).groups()
+    out, n = r.text("Mrs. Mary Jones met Mr John Brown; Mrs Jones and г-жа Анна Иванова left. Plain Mary too, maryland stays")
+    assert n == 5
+    woman, man, again, other = re.search(r"Mrs\. (\w+ \w+) met Mr (\w+ \w+); Mrs (\w+) and г-жа (\w+ \w+) left\. Plain (?!Mary)\w+ too, maryland stays", out).groups()
     assert woman.split()[0].lower() in pii.NAMES["latin", "f"] and man.split()[0].lower() in pii.NAMES["latin", "m"]
     assert again == woman.split()[1] != "Jones" and woman.split()[0] != "Mary"
     given, family = other.split()
@@ -67,3 +67,43 @@ def test_rows_nulls_long_texts_and_clashing_columns(spark):
     assert got[1].text is None and got[2].text == "" and got[1].n_chars is None
     assert pii.surrogate_collisions(docs, KEY).collect() == []
     assert pii.with_surrogates(docs.limit(0), KEY).collect() == []
+
+
+def test_digits_of_all_scripts():
+    r = pii.Replacer(KEY)
+    out, n = r.text("1 and ٤١١١ ١١١١ ١١١١ ١١١١ end")
+    assert n == 1 and re.fullmatch(r"1 and ٤[٠-٩]{3} [٠-٩]{4} [٠-٩]{4} [٠-٩]{4} end", out)
+    assert pii.plain_digits(out) == r.text("1 and 4111 1111 1111 1111 end")[0]
+    out, n = r.text("id ٠٧٨-٠٥-١١٢٠.")
+    assert n == 1 and re.fullmatch(r"id [٠-٩]{3}-[٠-٩]{2}-[٠-٩]{4}\.", out) and "٠٧٨-٠٥-١١٢٠" not in out
+    out, n = r.text("host १९२.१६८.४.७७ and 010.1.2.3")
+    assert n == 2 and re.match(r"host [०-९]+(\.[०-९]+){3} and \d{3}\.\d\.\d\.\d$", out) and "010.1.2.3" not in out
+
+
+def test_names_and_mails_of_all_scripts():
+    r = pii.Replacer(KEY)
+    for text, gone in (("δοκιμή@παράδειγμα.gr", "δοκιμή παράδειγμα"), ("Dr Παπαδόπουλος", "Παπαδόπουλος"), ("Mr 田中", "田中"), ("Mr Łukasz Šimůnek", "Łukasz Šimůnek"), ("г-н Ґжицький", "Ґжицький")):
+        out, n = r.text(f"so {text} said")
+        assert n == 1 and not any(x in out for x in gone.split()) and len(out) == len(text) + 8, out
+    assert r.text("Herr Łukasz")[0][5].isupper()
+    out = r.text("Mr. John Smith met Mr. John and John Smith; Johnson stays")[0]
+    first, last, alone, again, family = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+) and (\w+) (\w+); Johnson stays", out).groups()
+    assert first == alone == again != "John" and last == family != "Smith"
+
+
+def test_what_has_no_other_value_is_masked():
+    r = pii.Replacer(KEY)
+    r.family = lambda name: name
+    assert r.text("Mr Smith left") == ("[name] left", 1)
+
+
+def test_collisions_stop_the_job(spark, monkeypatch):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "mail a.b@c.example.org or d.e@c.example.org", 7)], "doc_id long, text string, n_entities int")
+    assert pii.checked_surrogates(docs, KEY, "n_entities").columns == ["doc_id", "text", "n_entities", "n_entities_"]
+    bad = spark.createDataFrame([("email", "A", "x"), ("email", "b", "X"), ("ip", "c", "c"), ("ip", "d", "[ip]"), ("ip", "e", "[ip]")], "kind string, entity string, surrogate string")
+    monkeypatch.setattr(pii, "entity_rows", lambda docs, key: bad)
+    assert sorted((x.kind, x.n) for x in pii.surrogate_collisions(docs, KEY).collect()) == [("email", 2), ("ip", 1)]
+    with pytest.raises(ValueError, match="email, ip"):
+        pii.checked_surrogates(docs, KEY)
