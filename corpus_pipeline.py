@@ -13,12 +13,9 @@ from accessloom.llm.common import cut, table
 from accessloom.llm.decontaminate import without_benchmark
 from accessloom.llm.near_copies import first_of_each
 from accessloom.llm.packing import packed_pieces
-from accessloom.llm.pii import with_surrogates
+from accessloom.llm.pii import checked_surrogates, key_of
 from accessloom.llm.quality_rules import kept_rows
 
-#: The key of the surrogates; a deployment passes its own secret.
-KEY = b"accessloom surrogate key of the test corpus"
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_rows(docs)
@@ -33,7 +30,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_surrogates(docs, KEY)
+    return checked_surrogates(docs, key_of(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
