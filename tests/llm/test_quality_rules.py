@@ -39,44 +39,86 @@ def test_base_statistics_equal_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
-def reference(x):
-    """The same estimate with numpy, from all vectors of one group at once; the hashed starts are replaced by the central one."""
-    floors, n = np.array(Q.FLOORS), len(x)
-    middle = np.median(x, axis=0)
-    spread = np.median(np.abs(x - middle), axis=0)
-    mean, cov = middle, np.diag((1.4826 * spread) ** 2 + floors**2)
-
-    def distance(mean, cov):
-        y = x - mean
-        return np.einsum("ij,ij->i", y, np.linalg.solve(cov, y.T).T)
-
-    for _ in range(Q.STEPS):
-        d = distance(mean, cov)
-        bins = np.minimum(np.floor(Q.PER_OCTAVE * np.log2(1 + 4 * d)), Q.BINS)
-        edge = np.sort(bins)[int(np.ceil(n * Q.H)) - 1]
-        near = x[bins <= edge]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * Q.SCALE + np.diag(floors**2)
-    near = x[distance(mean, cov) <= Q.chi2_quantile(0.975, Q.D)]
+def spread_of(x, mean, cov):
+    y = x - mean
+    return np.einsum("ij,ij->i", y, np.linalg.solve(cov, y.T).T)
+
+
+def concentrated(x, mean, cov, steps=60):
+    """Concentration steps with the exact h nearest, to the end: (log determinant, mean, covariance)."""
+    h = int(np.ceil(len(x) * Q.H))
+    for _ in range(steps):
+        near = x[np.argsort(spread_of(x, mean, cov), kind="stable")[:h]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * Q.SCALE + np.diag(np.array(Q.FLOORS) ** 2)
+    return np.linalg.slogdet(cov)[1] / 2, mean, cov
+
+
+def best_of_many(x, starts=200):
+    """The least determinant that concentration finds from many random starts (small groups: the true minimum)."""
+    rng = np.random.default_rng(0)
+    out = []
+    for _ in range(starts):
+        near = x[rng.choice(len(x), Q.D + 1, replace=False)]
+        out.append(concentrated(x, near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(np.array(Q.FLOORS) ** 2), 25))
+    return min(out, key=lambda r: r[0])
+
+
+def group_rows(spark, groups):
+    rows = [(g, i, *map(int, v)) for g, x in groups.items() for i, v in enumerate(np.round(x * Q.UNIT).astype(int))]
+    return spark.createDataFrame(rows, "key string, pick long, " + ", ".join(f"x{i} long" for i in range(Q.D)))
+
+
+def contaminated(seed, n, share, shift):
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(Q.D, Q.D))
+    x = rng.multivariate_normal(rng.normal(size=Q.D) * 3, a @ a.T / Q.D + np.eye(Q.D), n)
+    x[: int(n * share)] += shift * rng.choice([-1, 1], Q.D)
+    return np.round(x * Q.UNIT) / Q.UNIT
+
+
+def test_determinants_are_the_least_over_all_starts(spark):
+    groups = {"a": contaminated(1, 400, 0.2, 25), "b": contaminated(2, 60, 0.22, 12), "c": contaminated(3, 150, 0.1, 6), "d": contaminated(4, 90, 0.0, 0)}
+    members = group_rows(spark, groups)
+    kept = []
+    concentrate = Q.concentrated
+
+    def seen(members, state, small):
+        kept.append((state, concentrate(members, state, small)))
+        return kept[-1][1]
+
+    Q.concentrated = seen
+    try:
+        found = {r.key: r for r in Q.robust_estimates(members).collect()}
+    finally:
+        Q.concentrated = concentrate
+    state = kept[0][1].collect()
+    assert {(r.key, r.start) for r in state} == {(g, k) for g in groups for k in range(Q.STARTS)}
     scale = 0.975 / Q.chi2_cdf(Q.chi2_quantile(0.975, Q.D), Q.D + 2)
-    return near.mean(axis=0), np.cov(near.T, bias=True) * scale + np.diag(floors**2)
-
-
-def test_estimates_and_outliers(spark, monkeypatch):
-    monkeypatch.setattr(Q, "STARTS", 1)
-    rng = np.random.default_rng(8)
-    x = rng.multivariate_normal(np.zeros(Q.D), np.eye(Q.D) * 0.5 + 0.5, 400)
-    x[:80] += 25
-    whole = np.round(x * Q.UNIT).astype(int)
-    rows = [(g, i, *map(int, v)) for g in ("a", "b") for i, v in enumerate(whole)]
-    members = spark.createDataFrame(rows, "key string, pick long, " + ", ".join(f"x{i} long" for i in range(Q.D)))
-    mean, cov = reference(whole / Q.UNIT)
-    found = Q.robust_estimates(members).collect()
-    assert {r.key for r in found} == {"a", "b"}
-    factor = np.linalg.cholesky(cov)
-    for r in found:
-        assert np.allclose([r[f"m{i}"] for i in range(Q.D)], mean, atol=1e-6)
-        assert np.allclose([r[f"l{i}{j}"] for i in range(Q.D) for j in range(i + 1)], factor[np.tril_indices(Q.D)], atol=1e-6)
-    assert abs(mean).max() < 0.5
+    for g, x in groups.items():
+        logdet, mean, cov = best_of_many(x)
+        own = min(r.logdet for r in state if r.key == g)
+        assert abs(own - logdet) < 0.1, g  # of five starts and two hundred
+        sure = x[spread_of(x, mean, cov) <= Q.chi2_quantile(0.975, Q.D)]
+        want = np.cov(sure.T, bias=True) * scale + np.diag(np.array(Q.FLOORS) ** 2)
+        r = found[g]
+        assert np.abs(np.array([r[f"m{i}"] for i in range(Q.D)]) - sure.mean(axis=0)).max() < 0.2, g
+        factor = np.zeros((Q.D, Q.D))
+        factor[np.tril_indices(Q.D)] = [r[f"w{i}{j}"] for i in range(Q.D) for j in range(i + 1)]
+        ratio = -np.linalg.slogdet(factor @ factor.T)[1] - np.linalg.slogdet(want)[1]
+        assert abs(ratio) < 0.4, (g, ratio)
+
+
+def test_subsets_have_h_vectors(spark):
+    x = contaminated(5, 333, 0.2, 9)
+    members = group_rows(spark, {"a": x})
+    eye = {f"w{i}{j}": float(i == j) for i in range(Q.D) for j in range(i + 1)}
+    states = [dict(key="a", start=k, **{f"m{i}": float(k) for i in range(Q.D)}, **eye) for k in range(3)]
+    near = Q.nearest(members, spark.createDataFrame(states), True).collect()
+    assert len(near) == 3 and all(abs(r.n - np.ceil(333 * Q.H)) < 1e-6 for r in near)
+    for r in near:
+        d = np.sort(((x - r.start) ** 2).sum(axis=1))
+        ordered = x[np.argsort(((x - r.start) ** 2).sum(axis=1))][: int(r.n + 0.5)]
+        assert np.allclose([r[f"s{i}"] / r.n / Q.UNIT for i in range(Q.D)], ordered.mean(axis=0), atol=0.1), d[:3]
 
 
 def test_junk_goes_and_clean_stays(spark):
@@ -94,6 +136,16 @@ def test_junk_goes_and_clean_stays(spark):
     assert kept.columns[-1] == "x0" and kept.count() == 300
 
 
+def test_rows_are_judged_by_themselves(spark):
+    good = "a quiet harbour lay below the village where boats were mended through winter"
+    rows = [(1, good, 5, "p"), (1, "bad", 6, "q"), (None, "junk", 7, "r"), (None, good, 8, "s"), (2, "x" * 3_000_000 + " " + good, 9, "t"), (3, None, 1, "u"), (1, good, 5, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, row string")
+    kept = Q.kept_rows(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted((r.n_words, r.row) for r in kept.collect() if r.row != "t") == [(5, "p"), (5, "p"), (8, "s")]
+    assert Q.kept_rows(docs.limit(0)).collect() == []
+
+
 def test_empty_table_null_ids_and_repeated_rows(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert Q.quality(spark.createDataFrame([], schema)).collect() == []
