@@ -1,14 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles, found exactly.
+"""Links between near copies that SimHash fingerprints do not show, found exactly.
 
 A text is the set of hashes of its runs of WORDS words. Two sets of similarity 4/5 or more share an element among the first
-n - ceil(4n/5) + 1 of each under any common order (prefix filter); the order puts shingles that a sample finds frequent
-last, so the sample affects speed alone. Rows that meet in such an element are candidates, and each link is verified on
-the texts. First neighbours by size within each element's rows are linked; then the rows that are not connected yet are paired,
-as far as sizes, places and parity bitmaps (which bound the sets' difference from below) allow a similarity of 4/5.
-
-Contract: A-Z are lower-cased, words lie between \\t \\n \\v \\f \\r and blanks. A text of fewer words is one shingle; null
-counts as empty, and empty texts are copies of each other. Of each component one row stays: the one of the smallest doc_id (null
-is the last), then the smallest hash of text. Rows are told apart by themselves, so null and repeated ids are rows like others.
+n - ceil(4n/5) + 1 of each under any common order (prefix filter); the order puts the shingles that most texts have there last,
+counted over all texts (the list of LAST affects speed alone). Rows that meet in such an element are candidates, as far as sizes,
+places and parity bitmaps (which bound the sets' difference from below) allow a similarity of 4/5. First a tree over each
+element's candidates is verified on the texts, together with the pairs of near fingerprints; then all candidates that are not
+connected yet. So only pairs that could still join two components are ever compared.
 """
 
 from __future__ import annotations
@@ -23,11 +20,9 @@ from .components import components
 from .hashing import blocks, gram_hashes, lowered, span_hashes, text_bytes, word_spans
 
 WORDS = 5
-#: Texts whose shingles are counted, and in how many of them a shingle is frequent.
-SAMPLE, FREQUENT = 20_000, 4
-#: Shingles that are put last at most.
-LAST = 200_000
-BITS = 1024
+#: Texts whose first shingles hold one that is put last, and how many shingles are put last at most.
+FREQUENT, LAST = 16, 200_000
+BITS = 512
 
 
 def shingle_sets(column: pa.Array):
@@ -47,19 +42,25 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1 > 0).tobytes()
 
 
+def fingerprint(found: np.ndarray) -> np.uint64:
+    """The SimHash of a set: bits that over half its elements have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 16):
+        part = found[i : i + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0]
+
+
 def set_rows(batches):
+    """Of each text: at, the hash of its set (node), its size, parity bitmap and fingerprint."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
         sets = list(shingle_sets(batch.column(1)))
         nodes = np.fromiter((xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(parity, sets), pa.binary())], names=["at", "node", "n", "bits"])
-
-
-def shingle_rows(batches):
-    for batch in batches:
-        for found in shingle_sets(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
+        prints = np.fromiter(map(fingerprint, sets), np.uint64, len(sets))
+        columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array(map(parity, sets), pa.binary()), pa.array(prints.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "node", "n", "bits", "print"])
 
 
 def prefix_rows(last: np.ndarray):
@@ -104,44 +105,58 @@ def grouped(batches):
         yield rest
 
 
-NEIGHBOURS = "u long, v long, key long, n int, place int"
+def bounds_of(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
 
-def neighbours(batches):
-    """Of rows sorted by key, n and node: pairs of neighbours (key is null), and again the rows of keys that have over two."""
-    for part in grouped(batches):
-        key, node, n, place = (part.column(i).to_numpy() for i in range(4))
-        near = (key[1:] == key[:-1]) & may_be(n[1:].astype(np.int64), n[:-1].astype(np.int64), place[1:], place[:-1])
-        u, v = np.minimum(node[1:], node[:-1])[near], np.maximum(node[1:], node[:-1])[near]
-        pairs = np.unique(np.stack([u, v], axis=1), axis=0)
-        k = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], names=["u", "v", "key", "n", "place"])
-        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        many = np.repeat(np.diff(bounds) > 2, np.diff(bounds))
-        k = int(many.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(node[many]), pa.nulls(k, pa.int64()), pa.array(key[many]), pa.array(n[many]), pa.array(place[many])], names=["u", "v", "key", "n", "place"])
-
-
-def crossing(batches):
-    """Pairs of the rows of a key (key, node, n, place, root, bits; sorted by key) that have different roots and may be near copies."""
+def meeting(batches):
+    """The rows of keys that more than one row has, in rows sorted by key."""
     for part in grouped(batches):
-        key, node, n, place, root = (part.column(i).to_numpy() for i in range(5))
-        n = n.astype(np.int64)
-        bits = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
-        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            roots, of, counts = np.unique(root[a:b], return_inverse=True, return_counts=True)
-            if len(roots) == 1:
-                continue
+        bounds = bounds_of(part.column(0).to_numpy())
+        yield part.filter(pa.array(np.repeat(np.diff(bounds) > 1, np.diff(bounds))))
+
+
+def candidates(tree: bool):
+    """Pairs (u, v) of the rows of a key (key, node, n, place, root, bits; sorted by key) that have different roots and may be
+    near copies: all of them, or only a tree of each connected group of them."""
+
+    def run(batches):
+        for part in grouped(batches):
+            key, node, n, place, root = (part.column(i).to_numpy() for i in range(5))
+            n = n.astype(np.int64)
+            bits = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
+
+            def near(x, among):
+                """The rows of among that may be near copies of the row x."""
+                y = among[(root[among] != root[x]) & may_be(n[among], n[x], place[among], place[x])]
+                return y[9 * np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= n[y] + n[x]]
+
             us, vs = [], []
-            # All but the rows of the most frequent root, each with the rows that are not of its own.
-            for x in a + np.flatnonzero(of != counts.argmax()):
-                y = a + np.flatnonzero((root[a:b] != root[x]) & may_be(n[a:b], n[x], place[a:b], place[x]))
-                y = y[9 * np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= n[y] + n[x]]
-                us.append(np.minimum(node[y], node[x]))
-                vs.append(np.maximum(node[y], node[x]))
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["u", "v"])
+            bounds = bounds_of(key)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                rest = np.arange(a, b)
+                if tree:
+                    while len(rest):
+                        stack, rest = [rest[0]], rest[1:]
+                        while stack and len(rest):
+                            x = stack.pop()
+                            y = near(x, rest)
+                            us.append(np.full(len(y), node[x]))
+                            vs.append(node[y])
+                            stack.extend(y)
+                            rest = rest[~np.isin(rest, y, assume_unique=True)]
+                    continue
+                roots, of, counts = np.unique(root[a:b], return_inverse=True, return_counts=True)
+                if len(roots) > 1:  # all but the rows of the most frequent root, each with the rows that are not of its own
+                    for x in a + np.flatnonzero(of != counts.argmax()):
+                        y = near(x, rest)
+                        us.append(np.full(len(y), node[x]))
+                        vs.append(node[y])
+            u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs))
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
+
+    return run
 
 
 def similar(batches):
@@ -153,46 +168,38 @@ def similar(batches):
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar; texts: node, text."""
+    """The pairs (u, v) whose texts are similar; texts: node, text, a row for each node."""
     both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
     return cut(over(both, similar, "u long, v long"))
 
 
-def frequent(texts: DataFrame, n: int) -> np.ndarray:
-    """Shingles that are in many texts of a sample, sorted."""
-    share = -(-n // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(share, 1))) == 0).select("text")
-    counts = over(some, shingle_rows, "key long").groupBy("key").count().where(f"count >= {FREQUENT}")
-    return np.sort(np.array([r.key for r in counts.orderBy(F.desc("count"), "key").limit(LAST).collect()], np.int64).view(np.uint64))
+def frequent(texts: DataFrame) -> np.ndarray:
+    """The shingles, sorted, that stand in most texts' prefixes before any are put last."""
+    counts = over(texts, prefix_rows(np.empty(0, np.uint64)), PREFIXES).groupBy("key").count().where(f"count >= {FREQUENT}")
+    most = counts.orderBy(F.desc("count"), "key").limit(LAST).select("key").toPandas()
+    return np.sort(most["key"].to_numpy(np.int64).view(np.uint64))
+
 
+PREFIXES = "key long, node long, n int, place int"
 
-def near_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, root of the nodes that are linked; nodes: node, n, bits, each node once; texts: node, text."""
-    prefixes = over(texts, prefix_rows(frequent(texts, nodes.count())), "key long, node long, n int, place int")
-    met = cut(over(prefixes.repartition("key").sortWithinPartitions("key", "n", "node"), neighbours, NEIGHBOURS))
-    tried = cut(met.where("key is null").select("u", "v").distinct())
+
+def near_components(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
+    """node, root of the nodes that are linked; nodes: node, n, bits, each once; texts: node, text; likely: pairs (u, v)."""
+    prefixes = over(texts, prefix_rows(frequent(texts)), PREFIXES).repartition("key").sortWithinPartitions("key", "n", "node")
+    met = cut(over(prefixes, meeting, PREFIXES))
+
+    def pairs(root_of: DataFrame, tree: bool) -> DataFrame:
+        rows = met.join(root_of, "node").select("key", "node", "n", "place", "root", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
+        return over(rows, candidates(tree), "u long, v long")
+
+    alone = nodes.select("node", F.col("node").alias("root"), "bits")
+    tried = cut(likely.union(pairs(alone, True)).distinct())
     roots = components(verified(tried, texts))
-    held = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
-    rows = met.where("key is not null").select("key", F.col("u").alias("node"), "n", "place").join(held, "node").select("key", "node", "n", "place", "root", "bits")
-    pairs = over(rows.repartition("key").sortWithinPartitions("key"), crossing, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-    links = verified(cut(pairs), texts)
-    if links.isEmpty():
+    held = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits"))
+    rest = cut(pairs(held, False).distinct().join(tried, ["u", "v"], "left_anti"))
+    if rest.isEmpty():
         return roots
-    root_of = cut(held.select("node", "root"))
-    joined = links.join(root_of.toDF("u", "x"), "u").join(root_of.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    root_of = held.select("node", "root")
+    joined = verified(rest, texts).join(root_of.toDF("u", "x"), "u").join(root_of.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     tops = components(joined).toDF("root", "top")
     return root_of.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-
-
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component of near copies."""
-    rows = cut(docs.withColumn("_at", F.monotonically_increasing_id()))
-    text = F.col("text").cast("string")
-    sets = over(rows.select(F.col("_at").alias("at"), text.alias("text")), set_rows, "at long, node long, n int, bits binary")
-    ids = rows.select(F.col("_at").alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
-    nodes = cut(sets.join(ids, "at").groupBy("node").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    texts = cut(rows.join(nodes.select("node", F.col("first.at").alias("_at")), "_at").select("node", text.alias("text")))
-    roots = near_components(nodes.select("node", "n", "bits"), texts)
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col("first.at").alias("_at")), "_at", "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, over
+from .common import cut, free_name, over
 from .components import components
 
 SEED = 42
@@ -240,7 +240,36 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return prints.join(placed, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def likely_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (node, print) whose fingerprints are equal or link: of equal ones each with the least node."""
+    least = cut(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    equal = nodes.join(least, "print").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    links = cut(links_of(least.select("print"))).toDF("a", "b")
+    near = links.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return equal.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the first of their component; rows without an id stay."""
-    gone = simhash_groups(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of docs for each component of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 4/5 or
+    more. Pairs whose SimHash fingerprints (of those sets) link by Golay keys are verified on the texts; what three bits do not
+    reach, most links of that similarity, near_copies completes exactly.
+
+    The row that stays has the component's smallest doc_id (null is the last), then the smallest hash of text. Rows are told apart by
+    themselves, so rows that repeat an id or have none are judged like others. A text of fewer words is one shingle; null counts as
+    empty, and empty texts are copies of each other. All columns are kept, whatever their names.
+    """
+    from .near_copies import near_components, set_rows
+
+    at = free_name("row_at", docs.columns)
+    rows = cut(docs.withColumn(at, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(at).alias("at"), F.col("text").cast("string").alias("text"))
+    sets = cut(over(texts, set_rows, "at long, node long, n int, bits binary, print long"))
+    ids = rows.select(F.col(at).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
+    nodes = cut(sets.select("at", "node", "n", "print").join(ids, "at").groupBy("node").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("print").alias("print")))
+    one = nodes.select("node", F.col("first.at").alias("at"))
+    bits = cut(sets.select("at", "bits").join(one, "at").select("node", "bits").join(nodes.select("node", "n"), "node"))
+    own = cut(texts.join(one, "at").select("node", "text"))
+    roots = near_components(bits, own, likely_pairs(nodes.select("node", "print")))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.at").alias(at)), at, "left_semi").select(*(rows[f"`{c}`"] for c in docs.columns))

@@ -2,6 +2,7 @@ import numpy as np
 
 import corpus_pipeline as P
 from accessloom.llm import near_copies as N
+from accessloom.llm import simhash_golay as S
 
 
 def shingles(text):
@@ -46,12 +47,32 @@ def test_the_stage_leaves_one_of_all_texts_of_similarity_four_fifths(spark):
 def test_frequent_shingles_last_give_the_same(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(N, "FREQUENT", 10**9)
-    assert sorted(r.doc_id for r in N.first_of_each(docs).collect()) == leaders(rows)
+    seen = []
+    held = N.frequent
+    monkeypatch.setattr(N, "frequent", lambda texts: seen.append(held(texts)) or np.empty(0, np.uint64))
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == leaders(rows) and len(seen[0]) > 0
 
 
 def test_null_and_repeated_ids_and_empty_table(spark):
-    assert N.first_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert S.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     a, b = "a b c d e f g h i j", "k l m n o p q r s t"
     docs = spark.createDataFrame([(None, a), (5, a), (5, a), (5, b), (None, b), (None, "alone"), (None, "alone")], "doc_id long, text string")
-    assert sorted(N.first_of_each(docs).collect(), key=str) == sorted([(5, a), (5, b), (None, "alone")], key=str)
+    assert sorted(S.one_of_each(docs).collect(), key=str) == sorted([(5, a), (5, b), (None, "alone")], key=str)
+    one = spark.createDataFrame([(1, "a b c d", 7, 8), (2, "a b c d", 7, 9), (2, "unique text", 1, 2)], "doc_id long, text string, row_at int, node int")
+    assert sorted(S.one_of_each(one).collect()) == [(1, "a b c d", 7, 8), (2, "unique text", 1, 2)]
+
+
+def test_pairs_are_linked_by_trees_first():
+    """Of 300 copies that differ in a word or two, fewer pairs are compared than there are copies, key by key."""
+    rng = np.random.default_rng(1)
+    base = ["w%d" % x for x in rng.integers(0, 10_000, 120)]
+    texts = [" ".join(base[:k] + ["x%d" % k] + base[k + 1 :]) for k in range(3, 103)]
+    sets = [next(iter(N.shingle_sets(N.pa.array([t])))) for t in texts]
+    common = set.intersection(*({int(x) for x in s} for s in sets))
+    n = len(sets)
+    columns = [[min(common, default=0)] * n, list(range(n)), [len(s) for s in sets], [0] * n, list(range(n))]
+    batch = N.pa.RecordBatch.from_arrays([*(N.pa.array(c, N.pa.int64()) for c in columns), N.pa.array([N.parity(s) for s in sets])], names=["key", "node", "n", "place", "root", "bits"])
+    [tree] = list(N.candidates(True)(iter([batch])))
+    assert tree.num_rows == n - 1
+    [every] = list(N.candidates(False)(iter([batch])))
+    assert every.num_rows == n * (n - 1) // 2
