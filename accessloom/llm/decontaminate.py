@@ -5,27 +5,31 @@ may differ by RATE * n edits; cut into one piece more than that, it leaves a pie
 are sought at once (Aho-Corasick), and around each hit the item's least edit distance to any stretch of the text is found by
 Myers' bit-parallel method, all of the item in one integer.
 
-The items are worked through in blocks of MAX_ITEMS; each block is a pass over the documents, which are not shuffled.
+Documents are not shuffled. The benchmark is sent to the workers by broadcast, PASS_BYTES of it at most; a larger one is worked
+through in passes, and what a pass has found is written before the next. Within a pass a worker holds the automaton of one block of
+MAX_ITEMS items at a time, and goes through the blocks with CHUNK characters of text after another.
 
-Contract: null or empty texts match nothing, nor do items without letters or digits. Rows that repeat a doc_id or an item_id
+Contract: null or empty texts match nothing, nor do items without letters or digits. An item too short for any edit matches whole
+words only. Rows that repeat a doc_id or an item_id
 are all matched; equal results are one row. An item or document without id keeps its null. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over
+from .common import cut, over
 
 #: Edits allowed for each character of an item, and the least length of a piece (short items get fewer edits).
 RATE, LEAST_PIECE = 0.06, 12
-#: Items of one pass: their pieces and automaton stay under some 200 MB in each worker.
+#: Items of one block: their pieces and automaton stay under some 200 MB in each worker.
 MAX_ITEMS = 20_000
+#: Bytes of benchmark text that are broadcast at once, and characters of documents that are held while blocks change.
+PASS_BYTES, CHUNK = 64 << 20, 16 << 20
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -73,10 +77,13 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float, least: int):
         import ahocorasick
 
-        self.items = [(i, x, budget(len(x), rate, least), masks(x)) for i, x in items]
+        self.items = []
+        for i, x in items:
+            edits = budget(len(x), rate, least)
+            self.items.append((i, x if edits else f" {x} ", edits, masks(x) if edits else {}, len(x)))
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, x, edits, _) in enumerate(self.items):
+        for k, (_, x, edits, *_) in enumerate(self.items):
             for at, piece in pieces(x, edits):
                 places.setdefault(piece, []).append((k, at + len(piece) - 1))
         for piece, found in places.items():
@@ -85,12 +92,13 @@ class Matcher:
 
     def matches(self, text: str):
         """(number of the item, distance) of each item that the text holds within its budget."""
+        text = f" {text} "
         hits: dict[int, set[int]] = {}
         for end, found in self.automaton.iter(text):
             for k, at in found:
                 hits.setdefault(k, set()).add(end - at)
         for k, starts in hits.items():
-            _, item, edits, mask = self.items[k]
+            _, item, edits, mask, _ = self.items[k]
             best = edits + 1
             run: list[int] = []
             for start in [*sorted(starts), None]:  # hits whose stretches overlap are verified together
@@ -105,49 +113,78 @@ class Matcher:
                 yield k, best
 
 
-def blocks_of_items(benchmark: DataFrame, size: int):
-    """The benchmark's items in blocks of bounded size, normalised; those without content are left out."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().toLocalIterator()
-    items = ((i, x) for i, x in ((r[0], normal(r[1])) for r in rows) if x)
-    while block := list(islice(items, size)):
-        yield block
+def passes_of_items(benchmark: DataFrame):
+    """The benchmark's items, normalised, in passes of bounded size; those without content are left out."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    passes = -(-size // PASS_BYTES) or 1
+    for k in range(passes):
+        own = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        items = sorted(((r[0], normal(r[1])) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        if items := [(i, x) for i, x in items if x]:
+            yield items
 
 
-def match_rows(items, rate: float, least: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_chars", pa.int32()), ("budget", pa.int32()), ("distance", pa.int32())])
+def with_matches(texts_at: int, items, rate: float, least: int, max_items: int, put):
+    """A function over batches: put(batch, found), found having (place in the batch, number of the item, distance) and the items."""
 
     def run(batches):
-        matcher = Matcher(items, rate, least)
+        held, size, ready = [], 0, None
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(doc, matcher.items[k][0], len(matcher.items[k][1]), matcher.items[k][2], d) for k, d in matcher.matches(normal(text))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, schema.types)], schema=schema)
+            held.append((batch, [normal(x) for x in batch.column(texts_at).to_pylist()]))
+            size += sum(map(len, held[-1][1]))
+            if size >= CHUNK:
+                out, ready = worked(held, ready)
+                yield from out
+                held, size = [], 0
+        if held:
+            yield from worked(held, ready)[0]
+
+    def worked(held, ready):
+        every, found = items.value, [[] for _ in held]
+        for at in range(0, len(every), max_items):
+            if ready is None or ready[0] != at:
+                ready = at, Matcher(every[at : at + max_items], rate, least)
+            for own, (_, texts) in zip(found, held, strict=True):
+                own += [(row, at + k, d) for row, text in enumerate(texts) if text for k, d in ready[1].matches(text)]
+        return [put(batch, own, every) for (batch, _), own in zip(held, found, strict=True)], ready
 
     return run
 
 
+MATCHES = "doc_id long, item_id long, n_chars int, budget int, distance int"
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST_PIECE, max_items: int = MAX_ITEMS) -> DataFrame:
     """doc_id, item_id, n_chars (of the normalised item), budget and distance (edits) of each item that a document holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in blocks_of_items(benchmark, max_items):
-        found = over(rows, match_rows(block, rate, least), "doc_id long, item_id long, n_chars int, budget int, distance int")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_chars int, budget int, distance int")
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def put(batch, found, items):
+        ids = batch.column(0).to_pylist()
+        out = [(ids[row], items[k][0], len(items[k][1]), budget(len(items[k][1]), rate, least), d) for row, k, d in found]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, types, strict=True)], names=["doc_id", "item_id", "n_chars", "budget", "distance"])
+
+    spark, done = docs.sparkSession, []
+    for items in passes_of_items(benchmark):
+        found = over(rows, with_matches(1, spark.sparkContext.broadcast(items), rate, least, max_items, put), MATCHES)
+        done = [*done[:-1], *map(cut, done[-1:]), found]
+    if not done:
+        return spark.createDataFrame([], MATCHES)
+    out = done[0]
+    for found in done[1:]:
+        out = out.union(found)
     return out.distinct()
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST_PIECE, max_items: int = MAX_ITEMS) -> DataFrame:
     """docs, all their columns, without the rows whose text holds an item of the benchmark."""
-    at = docs.columns.index("text")
-    for block in blocks_of_items(benchmark, max_items):
+    at, spark, kept = docs.columns.index("text"), docs.sparkSession, None
 
-        def clean(batches, block=block):
-            matcher = Matcher(block, rate, least)
-            for batch in batches:
-                yield batch.filter(pa.array([next(matcher.matches(normal(x)), None) is None for x in batch.column(at).to_pylist()], pa.bool_()))
+    def put(batch, found, items):
+        gone = {row for row, _, _ in found}
+        return batch.filter(pa.array([row not in gone for row in range(batch.num_rows)], pa.bool_()))
 
-        docs = over(docs, clean, docs.schema)
-    return docs
+    for items in passes_of_items(benchmark):
+        kept = over(docs if kept is None else cut(kept), with_matches(at, spark.sparkContext.broadcast(items), rate, least, max_items, put), docs.schema)
+    return docs if kept is None else kept

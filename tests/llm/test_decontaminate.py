@@ -38,6 +38,8 @@ def test_matches_equal_brute_force(spark):
         for k, x in enumerate(items):
             x = D.normal(x)
             d = least_distance(x, D.normal(t)) if t else 99
+            if not D.budget(len(x)):  # whole words alone
+                d = 0 if f" {x} " in f" {D.normal(t)} " else 99
             if x and d <= D.budget(len(x)):
                 want.add((i, k, d))
     for n in (7, 1000):
@@ -57,3 +59,23 @@ def test_empty_tables_and_repeated_rows(spark):
     got = {(r.doc_id, r.item_id) for r in D.benchmark_matches(docs, bench).collect()}
     assert got == {(None, 5), (1, 5), (None, None), (1, None)}
     assert D.benchmark_matches(docs.limit(0), bench).collect() == []
+
+
+def test_short_items_match_whole_words(spark):
+    bench = spark.createDataFrame([(1, "art"), (2, "Of the")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a party started"), (2, "modern ART!"), (3, "roof then"), (4, "of, the"), (5, "art")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in D.benchmark_matches(docs, bench).collect()} == {(2, 1, 0), (4, 2, 0), (5, 1, 0)}
+
+
+def test_blocks_are_one_scan_and_one_worker(spark, monkeypatch):
+    items, texts = cases()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(D.without_benchmark(docs, bench, max_items=10)).count("MapInArrow") == 1
+    assert plan(D.benchmark_matches(docs, bench, max_items=10)).count("MapInArrow") == 1
+    one = {tuple(r) for r in D.benchmark_matches(docs, bench).collect()}
+    monkeypatch.setattr(D, "PASS_BYTES", 400)  # several passes, several chunks
+    monkeypatch.setattr(D, "CHUNK", 300)
+    assert {tuple(r) for r in D.benchmark_matches(docs, bench, max_items=2).collect()} == one
+    assert {r.doc_id for r in D.without_benchmark(docs, bench, max_items=2).collect()} == set(range(len(texts))) - {r[0] for r in one}
