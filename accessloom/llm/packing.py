@@ -9,8 +9,9 @@ tokens, cut where a sequence is full. Only the last sequence of a range can be p
 White space never lies within the vocabulary's pre-tokens, so each of them is encoded once and remembered (a bounded store in
 each worker).
 
-The ranges come from a sample of SAMPLE documents (for their bounds alone; every document is packed) and hold like amounts of
-text, so that long documents, which lie close together, do not meet in one task.
+The ranges, of RANGE_BYTES at most on average, come from a sample that grows with their number (for their bounds alone; every
+document is packed) and hold like amounts of text, so that long documents, which lie close together, do not meet in one task. The
+sample is picked by a hash of the row, so the result is the same for any layout of files.
 
 Contract: a null text counts as empty: its only token is the end id. Every row gives its pieces, repeated rows and null ids
 included. Other columns are ignored. An empty table gives no rows.
@@ -32,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import over
-from .hashing import U, blocks, mix, text_bytes
+from .hashing import U, blocks, lowered, mix, span_hashes, text_bytes, word_spans
 
 SIZE, END = 2048, 1
 BUCKET_BITS, DIMS, BITS = 10, 4, 8
 #: Words whose ids a worker remembers.
 HELD = 600_000
-#: Documents of the sample for the ranges.
-SAMPLE = 20_000
+#: Bytes of text to a range (there are as many ranges as shuffle partitions at least), and documents of the sample for their
+#: bounds: so many in all, or to a range if that is more.
+RANGE_BYTES, SAMPLE, TO_A_RANGE = 256 << 20, 20_000, 50
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -71,21 +73,25 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def word_buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash bucket of each word (by its first eight bytes, letters' case ignored), and the bounds of each text's words."""
-    inside = data > 32
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edge = bounds[1:-1]
-    edge = edge[edge < len(data)]
-    begins[edge] = inside[edge]
-    starts = np.flatnonzero(begins)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    code, on = np.zeros(len(starts), U), np.ones(len(starts), bool)
-    for k in range(8):
-        c = padded[starts + k]
-        on &= c > 32
-        code = code << U(8) | np.where(on, c | 32, 0).astype(U)
-    return (mix(code) >> U(64 - BUCKET_BITS)).astype(np.int64), np.searchsorted(starts, bounds)
+    """The hash bucket of each whole word (A-Z lower-cased), and the bounds of each text's words. Characters of three bytes or more
+    in UTF-8 are words by themselves: most such scripts have no blanks between words."""
+    data = lowered(data)
+    starts, ends, of_text = word_spans(data, bounds)
+    if (data >= 0xE0).any():
+        begins = np.zeros(len(data) + 1, bool)
+        begins[starts] = True
+        wide = np.flatnonzero(data >= 0xE0)
+        begins[wide] = True
+        after = wide + 3 + (data[wide] >= 0xF0)
+        stops = np.zeros(len(data) + 1, bool)
+        stops[ends] = True
+        after = after[~stops[after]]  # what follows a wide character within a word begins another
+        begins[after] = True
+        starts = np.flatnonzero(begins)
+        cuts = np.flatnonzero(begins | stops)
+        ends = cuts[np.searchsorted(cuts, starts, "right")]
+        of_text = np.searchsorted(starts, bounds)
+    return (span_hashes(data, starts, ends) >> U(64 - BUCKET_BITS)).astype(np.int64), of_text
 
 
 def curve_keys(texts: pa.Array) -> np.ndarray:
@@ -126,14 +132,17 @@ def key_rows(bounds: np.ndarray | None):
     return run
 
 
-def range_bounds(rows: DataFrame, parts: int, sample: int) -> np.ndarray:
+def range_bounds(rows: DataFrame, least: int) -> np.ndarray:
     """Upper bounds of all ranges but the last, by the text that a bounded sample has below them."""
-    n = rows.count()
-    some = rows if n <= sample else rows.sample(sample / n, seed=6)
-    found = over(some, key_rows(None), "curve long, size long").limit(2 * sample).toPandas().sort_values("curve")
-    if found.empty:
-        return np.empty(0, np.int64)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = max(least, -(-size // RANGE_BYTES))
+    sample = max(SAMPLE, TO_A_RANGE * parts)
+    share = 1 << 40 if n <= sample else (sample << 40) // n
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share)
+    found = over(some, key_rows(None), "curve long, size long").limit(2 * sample).toPandas().sort_values(["curve", "size"])
     total = (found["size"] + 100).cumsum().to_numpy()
+    if not len(total):
+        return np.empty(0, np.int64)
     return found["curve"].to_numpy()[np.searchsorted(total, total[-1] * np.arange(1, parts) / parts)]
 
 
@@ -222,7 +231,7 @@ def packed_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
     """A row for each piece of a document in a sequence: start and length in the document's ids, the CRC-32 of its ids, all
     the document's tokens, its sequence and its place there. vocabulary: path of a tokenizers file on every worker."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = over(rows, key_rows(range_bounds(rows, parts, SAMPLE)), "doc_id long, text string, curve long, part int")
-    ranged = keyed.repartitionById(parts, "part").sortWithinPartitions("curve", "doc_id", "text")
+    bounds = range_bounds(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = over(rows, key_rows(bounds), "doc_id long, text string, curve long, part int")
+    ranged = keyed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("curve", "doc_id", "text")
     return over(ranged.select("doc_id", "text"), packed(vocabulary, size, end), PIECES)

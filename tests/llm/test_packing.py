@@ -69,3 +69,29 @@ def test_empty_table_and_neighbours(spark):
     a, b = "the cat sat on a mat by the door " * 5, "les chats sont sur le tapis dans la maison " * 5
     keys = packing.curve_keys(pa.array([a, a + "ok", b, None]))
     assert abs(keys[0] - keys[1]) < abs(keys[0] - keys[2])
+
+
+def test_whole_words_are_hashed():
+    import pyarrow as pa
+
+    def buckets(text):
+        data, offsets = packing.text_bytes(pa.array([text]))
+        return packing.word_buckets(data, offsets)[0].tolist()
+
+    assert len(set(buckets("prefixedword prefixedXYZZY информация информатика"))) == 4
+    assert buckets("Word wORD") == buckets("word word") and buckets("同じ文字 x") == buckets("同 じ 文 字 x")
+    assert buckets("a同b") == buckets("a 同 b") and buckets("\U0001f600z") == buckets("\U0001f600 z") and buckets("同") == buckets(" 同 ")
+    data, offsets = packing.text_bytes(pa.array(["同a", None, "b", "", "é 語"]))
+    assert packing.word_buckets(data, offsets)[1].tolist() == [0, 2, 2, 3, 3, 5]
+
+
+def test_ranges_follow_the_amount_of_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 97} " * 200) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(packing, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(packing, "SAMPLE", 100)
+    monkeypatch.setattr(packing, "TO_A_RANGE", 5)
+    bounds = packing.range_bounds(docs, 4)
+    assert len(bounds) + 1 == -(-sum(len(f"word{i % 97} ") * 200 for i in range(400)) // 20_000)
+    assert (packing.range_bounds(docs.repartition(9), 4) == bounds).all()
+    places = lambda df: sorted((r.doc_id, r.start, r.length) for r in packing.packed_pieces(df, PATH).select("doc_id", "start", "length").collect())
+    assert places(docs) == places(docs.repartition(3).orderBy("text"))
