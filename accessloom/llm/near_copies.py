@@ -23,6 +23,8 @@ WORDS = 5
 #: Texts whose first shingles hold one that is put last, and how many shingles are put last at most.
 FREQUENT, LAST = 16, 200_000
 BITS = 512
+#: Sets that a task remembers to have given.
+SEEN = 1_000_000
 
 
 def shingle_sets(column: pa.Array):
@@ -64,22 +66,31 @@ def set_rows(batches):
 
 
 def prefix_rows(last: np.ndarray):
-    """The elements of each set's prefix, with the place of each in the order."""
+    """The elements of each text's prefix, with its node and the place of each in the order. Of equal sets a task gives one."""
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
+        seen: set[int] = set()
         for batch in batches:
-            keys, sizes, counts = [], [], []
-            for found in shingle_sets(batch.column(1)):
+            keys, sizes, counts, nodes = [], [], [], []
+            for found in shingle_sets(batch.column(0)):
+                node = xxh64_intdigest(found.tobytes())
+                if node in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(node)
                 n = len(found)
                 if len(last) and n:
                     found = found[np.argsort(last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found, kind="stable")]
                 keys.append(found[: n - -(-4 * n // 5) + 1] if n else found)
                 sizes.append(n)
                 counts.append(len(keys[-1]))
+                nodes.append(node)
             if keys:
                 places = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-                nodes = np.repeat(batch.column(0).to_numpy(), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(places)], names=["key", "node", "n", "place"])
+                own = np.repeat(np.array(nodes, np.uint64).view(np.int64), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(own), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(places)], names=["key", "node", "n", "place"])
 
     return run
 
@@ -90,7 +101,14 @@ def may_be(n, m, i, j):
 
 
 def grouped(batches):
-    """The rows of one key after another, of a table sorted by key: lists of columns."""
+    """The rows of whole keys, of a table sorted by key, n and node; equal rows once."""
+    for part in whole_keys(batches):
+        key, node = part.column(0).to_numpy(), part.column(1).to_numpy()
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
+        yield part.filter(pa.array(~again)) if again.any() else part
+
+
+def whole_keys(batches):
     rest = None
     for batch in batches:
         if not batch.num_rows:
@@ -167,15 +185,33 @@ def similar(batches):
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar; texts: node, text, a row for each node."""
-    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return cut(over(both, similar, "u long, v long"))
+#: Only the texts that pairs name are shuffled: Spark's Bloom filters over join keys, of bounded size, at any size of the tables.
+FILTERS = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+}
+
+
+def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are similar; places: node, at of one of its texts; texts: at, text."""
+    conf = pairs.sparkSession.conf
+    before = {k: conf.get(k) for k in FILTERS}
+    placed = cut(pairs.join(places.toDF("u", "x"), "u").join(places.toDF("v", "y"), "v").select("u", "v", "x", "y"))
+    for k, v in FILTERS.items():
+        conf.set(k, v)
+    try:
+        both = placed.where("u < v").join(texts.toDF("x", "a"), "x").join(texts.toDF("y", "b"), "y").select("u", "v", "a", "b")
+        return cut(over(both, similar, "u long, v long"))
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def frequent(texts: DataFrame) -> np.ndarray:
     """The shingles, sorted, that stand in most texts' prefixes before any are put last."""
-    counts = over(texts, prefix_rows(np.empty(0, np.uint64)), PREFIXES).groupBy("key").count().where(f"count >= {FREQUENT}")
+    counts = over(texts.select("text"), prefix_rows(np.empty(0, np.uint64)), PREFIXES).groupBy("key").count().where(f"count >= {FREQUENT}")
     most = counts.orderBy(F.desc("count"), "key").limit(LAST).select("key").toPandas()
     return np.sort(most["key"].to_numpy(np.int64).view(np.uint64))
 
@@ -184,8 +220,9 @@ PREFIXES = "key long, node long, n int, place int"
 
 
 def near_components(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
-    """node, root of the nodes that are linked; nodes: node, n, bits, each once; texts: node, text; likely: pairs (u, v)."""
-    prefixes = over(texts, prefix_rows(frequent(texts)), PREFIXES).repartition("key").sortWithinPartitions("key", "n", "node")
+    """node, root of the nodes that are linked; nodes: node, at, bits, each node once; texts: at, text; likely: pairs (u, v)."""
+    places = nodes.select("node", "at")
+    prefixes = over(texts.select("text"), prefix_rows(frequent(texts)), PREFIXES).repartition("key").sortWithinPartitions("key", "n", "node")
     met = cut(over(prefixes, meeting, PREFIXES))
 
     def pairs(root_of: DataFrame, tree: bool) -> DataFrame:
@@ -193,13 +230,13 @@ def near_components(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> Da
         return over(rows, candidates(tree), "u long, v long")
 
     alone = nodes.select("node", F.col("node").alias("root"), "bits")
-    tried = cut(likely.union(pairs(alone, True)).distinct())
-    roots = components(verified(tried, texts))
+    tried = cut(likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(pairs(alone, True)).distinct())
+    roots = components(verified(tried, texts, places))
     held = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits"))
     rest = cut(pairs(held, False).distinct().join(tried, ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return roots
     root_of = held.select("node", "root")
-    joined = verified(rest, texts).join(root_of.toDF("u", "x"), "u").join(root_of.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    joined = verified(rest, texts, places).join(root_of.toDF("u", "x"), "u").join(root_of.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     tops = components(joined).toDF("root", "top")
     return root_of.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import cut
-from .text_stats import add_stats
+from .text_stats import STATS, add_stats
 
 LEAST_WORDS, REPEATED = 10, 20
 H, STARTS = 0.75, 5
 #: Concentration steps between two tests whether determinants still fall, such rounds at most, and what counts as falling
 #: (of the logarithm of the determinant's root).
-STEPS, ROUNDS, STILL = 3, 6, 1e-3
+STEPS, ROUNDS, STILL = 1, 20, 1e-3
 #: Squared distance beyond which a document is rejected: the chi-square quantile of this probability.
 SURE = 1 - 1e-6
 PER_OCTAVE, BINS = 32, 960
@@ -183,14 +183,17 @@ def robust_estimates(members: DataFrame) -> DataFrame:
 SHOWN = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-def judged(docs: DataFrame, whole_rows: bool) -> DataFrame:
-    """SHOWN for each row; with whole_rows the row itself, as a struct, is there too."""
+def stats_of(docs: DataFrame, held: list[Column]) -> DataFrame:
+    """held and, by language and source ("=" before a name, as a null has none), the base statistics, their verdict and the vector."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) if c in docs.columns else F.lit("null")
-    row = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if whole_rows else []
-    stats = add_stats(docs, [F.col("doc_id").cast("long").alias("doc_id"), name("lang").alias("lang"), name("source").alias("source"), *row])
+    stats = add_stats(docs, [*held, F.col("doc_id").cast("long").alias("doc_id"), name("lang").alias("lang"), name("source").alias("source")])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    held = [c for c in ("lang", "source", "row", *SHOWN[:6]) if c in stats.columns]
-    rows = cut(stats.select(*held, failed.alias("base_failed"), *vector()))
+    rest = [c for c in stats.columns if c not in STATS]
+    return stats.select(*rest, *SHOWN[1:6], failed.alias("base_failed"), *vector())
+
+
+def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """lang, source, m0.., w00.. for each language and source of rows, and whether these are few."""
     sound = rows.where(~F.col("base_failed"))
     sizes = sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
@@ -201,8 +204,10 @@ def judged(docs: DataFrame, whole_rows: bool) -> DataFrame:
     # A vector counts for its own group, and for its language's and the whole where a small group needs these.
     parts = sound.select(F.explode(F.array(pair, lang, every)).alias("key"), F.xxhash64("doc_id", "n_words", "word_chars").alias("pick"), *(f"x{i}" for i in range(D)))
     members = cut(beside(parts, wanted, small))
-    found = robust_estimates(members).drop("logdet", "size")
-    known = cut(groups.join(found, "key"))
+    return cut(groups.join(robust_estimates(members).drop("logdet", "size"), "key").drop("key")), small
+
+
+def judged(rows: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     rows = rows.join(F.broadcast(known) if small else known, ["lang", "source"], "left")
     distance = squared_distance()
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CUTOFF)
@@ -211,10 +216,17 @@ def judged(docs: DataFrame, whole_rows: bool) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and distance (squared; null where nothing was estimated)."""
-    return judged(docs, whole_rows=False).select(*SHOWN)
+    rows = cut(stats_of(docs, []))
+    return judged(rows, *estimates(rows)).select(*SHOWN)
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that are not rejected. Each row is judged by its own text, so rows that share an id or
-    have none are kept or rejected each by itself."""
-    return judged(docs, whole_rows=True).where("kept").select("row.*")
+    have none are kept or rejected each by itself. The statistics are made a second time for the verdict, beside the row: that
+    neither shuffles nor writes the texts."""
+    found = estimates(cut(stats_of(docs, [])))
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows = stats_of(docs, [row])
+    # An explode of one element: without it the optimiser would write the statistics out at each place that reads them.
+    rows = rows.select("row", F.explode(F.array(F.struct(*(c for c in rows.columns if c != "row")))).alias("own")).select("row", "own.*")
+    return judged(rows, *found).where("kept").select("row.*")

@@ -266,10 +266,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     sets = cut(over(texts, set_rows, "at long, node long, n int, bits binary, print long"))
     ids = rows.select(F.col(at).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
-    nodes = cut(sets.select("at", "node", "n", "print").join(ids, "at").groupBy("node").agg(F.min(rank).alias("first"), F.first("n").alias("n"), F.first("print").alias("print")))
-    one = nodes.select("node", F.col("first.at").alias("at"))
-    bits = cut(sets.select("at", "bits").join(one, "at").select("node", "bits").join(nodes.select("node", "n"), "node"))
-    own = cut(texts.join(one, "at").select("node", "text"))
-    roots = near_components(bits, own, likely_pairs(nodes.select("node", "print")))
+    nodes = cut(sets.join(ids, "at").groupBy("node").agg(F.min(rank).alias("first"), F.first("bits").alias("bits"), F.first("print").alias("print")))
+    roots = near_components(nodes.select("node", F.col("first.at").alias("at"), "bits"), texts, likely_pairs(nodes.select("node", "print")))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return rows.join(kept.select(F.col("first.at").alias(at)), at, "left_semi").select(*(rows[f"`{c}`"] for c in docs.columns))
