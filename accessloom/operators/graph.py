@@ -59,6 +59,7 @@ def components(successors: dict[str, list[str]]) -> dict[str, int]:
     of: dict[str, int] = {}
     stack: list[str] = []
     on: set[str] = set()
+    number = 0
     for root in sorted(successors):
         if root in index:
             continue
@@ -82,13 +83,13 @@ def components(successors: dict[str, list[str]]) -> dict[str, int]:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == index[node]:
-                    number = len(set(of.values())) if not of else max(of.values()) + 1
                     while True:
                         member = stack.pop()
                         on.discard(member)
                         of[member] = number
                         if member == node:
                             break
+                    number += 1
     return of
 
 

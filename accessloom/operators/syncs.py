@@ -98,7 +98,8 @@ def resumable(sync_runs: DataFrame, now: Column, days: int = 7) -> DataFrame:
 
 
 def parent_first(sync_runs: DataFrame, depth: int = 64) -> DataFrame:
-    """R-132: runs with their place: a parent before its children, else by id. Runs are few: the rounds stop at the deepest chain."""
+    """R-132: runs with their place: a parent before its children, else by id. Runs are few: the rounds stop at the deepest chain.
+    Chains of more than depth parents, and runs that are their own ancestors, are an error."""
     known = sync_runs.select(F.col("sync_id").alias("known"))
     rows = sync_runs.join(known, F.col("parent_sync_id") == F.col("known"), "left")
     level = rows.where("known is null").select("sync_id", F.lit(0).alias("level"))
@@ -107,4 +108,7 @@ def parent_first(sync_runs: DataFrame, depth: int = 64) -> DataFrame:
         n += 1
         level = rows.join(level.select(F.col("sync_id").alias("known")), "known").select("sync_id", F.lit(n).alias("level"))
         out = out.union(level)
+    left = sync_runs.join(out.select("sync_id"), "sync_id", "left_anti").select("sync_id").orderBy("sync_id").limit(3).collect()
+    if left:
+        raise ValueError(f"runs with more than {depth} ancestors, or their own ancestors: {', '.join(r.sync_id for r in left)}")
     return out

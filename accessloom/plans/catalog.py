@@ -289,7 +289,7 @@ def expanded_sources(spark, d):
     return expand.sources_table(expanded(spark, d))
 
 
-@query(", s AS (SELECT gid, count(*) AS n, bool_or(source = split_part(gid, ':', 1) || ':' || split_part(gid, ':', 2) || ':' || split_part(gid, ':', 3)) AS own FROM (SELECT DISTINCT * FROM sources) GROUP BY 1) SELECT e.gid AS external_id, CASE WHEN s.gid IS NULL THEN 'keep' WHEN own THEN 'clear' ELSE 'delete' END AS action FROM expanded e LEFT JOIN s USING (gid)")
+@query(", s AS MATERIALIZED (SELECT e.gid, bool_or(s.source = e.eid) AS own FROM sources s JOIN (SELECT gid, min(eid) AS eid FROM expanded GROUP BY 1) e USING (gid) GROUP BY 1) SELECT e.gid AS external_id, CASE WHEN s.gid IS NULL THEN 'keep' WHEN own THEN 'clear' ELSE 'delete' END AS action FROM expanded e LEFT JOIN s USING (gid)")
 def rollback_classification(spark, d):
     return expand.classify_rollback(expanded(spark, d)).select("external_id", "action")
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in spark.checkpoint.dir (one is set where it is unset, as in tests): later reads survive lost executors."""
+    """df as a table in spark.checkpoint.dir: later reads survive lost executors. Where that is unset and all runs in one JVM (as in
+    tests), one is set; elsewhere its lack is an error: executors would write to their own disks."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ entitlements AS (
     CASE WHEN rt <> 'org' THEN 'geography' END AS grp, false AS is_default FROM resources WHERE rt IN ('org','region','nation')
   UNION ALL SELECT 'part:' || p_partkey || ':buyer', 'part', CAST(p_partkey AS VARCHAR), 'buyer', 'Buyer of part ' || p_partkey, p_brand, p_size % 10 = 0 FROM part
   UNION ALL SELECT 'part:' || p_partkey || ':supplier', 'part', CAST(p_partkey AS VARCHAR), 'supplier', 'Supplier of part ' || p_partkey, NULL, false FROM part),
-bought AS (SELECT o_custkey, l_partkey, min(o_orderdate) AS seen, min(o_orderdate) < TIMESTAMP '{CUTOFF}' AS was
+bought AS MATERIALIZED (SELECT o_custkey, l_partkey, min(o_orderdate) AS seen, min(o_orderdate) < TIMESTAMP '{CUTOFF}' AS was
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
 base AS (
   SELECT 'nation' AS rt, CAST(c_nationkey AS VARCHAR) AS rid, 'member' AS slug, 'customer' AS pt, CAST(c_custkey AS VARCHAR) AS pid, TIMESTAMP '{BEGIN}' AS seen, CAST(NULL AS VARCHAR) AS src, false AS shallow, CAST(NULL AS VARCHAR) AS only_type, true AS was FROM customer
@@ -32,17 +32,17 @@ base AS (
   UNION ALL SELECT DISTINCT 'part', CAST(l_partkey AS VARCHAR), 'supplier', 'supplier', CAST(l_suppkey AS VARCHAR), TIMESTAMP '{BEGIN}', NULL, false, CAST(NULL AS VARCHAR), true FROM lineitem
   UNION ALL SELECT 'region', CAST(n_regionkey AS VARCHAR), 'member', 'nation', CAST(n_nationkey AS VARCHAR), TIMESTAMP '{BEGIN}', 'nation:' || n_nationkey || ':member', false, CASE WHEN n_nationkey % 3 = 0 THEN 'customer' END, true FROM nation
   UNION ALL SELECT 'org', '0', 'member', 'region', CAST(r_regionkey AS VARCHAR), TIMESTAMP '{BEGIN}', 'region:' || r_regionkey || ':member', r_regionkey % 2 = 1, NULL, true FROM region),
-grants AS (SELECT rt || ':' || rid || ':' || slug || ':' || pt || ':' || pid AS gid, rt || ':' || rid || ':' || slug AS eid, * FROM base),
-hop1 AS (SELECT e.eid AS dst, g.pt, g.pid, g.eid AS src, true AS is_direct FROM grants e JOIN grants g ON g.eid = e.src WHERE e.rt = 'region' AND (e.only_type IS NULL OR e.only_type = g.pt)),
-regional AS (
+grants AS MATERIALIZED (SELECT rt || ':' || rid || ':' || slug || ':' || pt || ':' || pid AS gid, rt || ':' || rid || ':' || slug AS eid, * FROM base),
+hop1 AS MATERIALIZED (SELECT e.eid AS dst, g.pt, g.pid, g.eid AS src, true AS is_direct FROM grants e JOIN grants g ON g.eid = e.src WHERE e.rt = 'region' AND (e.only_type IS NULL OR e.only_type = g.pt)),
+regional AS MATERIALIZED (
   SELECT g.eid, g.pt, g.pid, g.gid, h.src, coalesce(h.is_direct, true) AS is_direct FROM grants g JOIN (SELECT DISTINCT dst, pt, pid FROM hop1) k ON g.eid = k.dst AND g.pt = k.pt AND g.pid = k.pid
     JOIN (SELECT * FROM hop1 UNION ALL SELECT DISTINCT dst, pt, pid, dst, true FROM hop1) h ON h.dst = g.eid AND h.pt = g.pt AND h.pid = g.pid
   UNION ALL SELECT h.dst, h.pt, h.pid, h.dst || ':' || h.pt || ':' || h.pid, h.src, h.is_direct FROM hop1 h WHERE NOT EXISTS (SELECT 1 FROM grants g WHERE g.eid = h.dst AND g.pt = h.pt AND g.pid = h.pid)),
-region_rows AS (
+region_rows AS MATERIALIZED (
   SELECT eid, pt, pid, bool_or(src = eid) AS own FROM regional GROUP BY 1, 2, 3
   UNION ALL SELECT eid, pt, pid, true FROM grants g WHERE rt = 'region' AND NOT EXISTS (SELECT 1 FROM hop1 h WHERE h.dst = g.eid AND h.pt = g.pt AND h.pid = g.pid)),
-hop2 AS (SELECT e.eid AS dst, r.pt, r.pid, r.eid AS src, r.own AS is_direct FROM grants e JOIN region_rows r ON r.eid = e.src WHERE e.rt = 'org' AND (NOT e.shallow OR r.own)),
-sources AS (
+hop2 AS MATERIALIZED (SELECT e.eid AS dst, r.pt, r.pid, r.eid AS src, r.own AS is_direct FROM grants e JOIN region_rows r ON r.eid = e.src WHERE e.rt = 'org' AND (NOT e.shallow OR r.own)),
+sources AS MATERIALIZED (
   SELECT gid, src AS source, is_direct FROM regional
   UNION ALL SELECT dst || ':' || pt || ':' || pid, src, is_direct FROM hop2
   UNION ALL SELECT DISTINCT h.dst || ':' || h.pt || ':' || h.pid, h.dst, true FROM hop2 h JOIN grants g ON g.eid = h.dst AND g.pt = h.pt AND g.pid = h.pid),

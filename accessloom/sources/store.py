@@ -30,22 +30,25 @@ class Store:
         return self.read("sync_runs")
 
     def put(self, table: str, rows: DataFrame) -> None:
-        """Replaces the partitions of the runs that rows belong to (R-101)."""
+        """Replaces the partitions of the runs that rows belong to (R-101). Runs themselves are added by finish()."""
+        if table == "sync_runs":
+            raise ValueError("sync_runs is written by finish(): replacing it would erase all other runs")
         names = [f.name for f in schema(table)]
         out = rows.select(*(F.col(n).cast(schema(table)[n].dataType) if n in rows.columns else F.lit(None).cast(schema(table)[n].dataType).alias(n) for n in names))
-        writer = out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy("sync_id") if table != "sync_runs" else writer).parquet(f"{self.path}/{table}")
+        out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("sync_id").parquet(f"{self.path}/{table}")
 
     def finish(self, run: DataFrame) -> None:
-        """Adds a run's row; only now its tables are to be found."""
+        """Adds a run's row; only now its tables are to be found. A run that is there already is left as it is."""
         names = [f.name for f in schema("sync_runs")]
+        run = run.join(self.runs().select("sync_id"), "sync_id", "left_anti")
         run.select(*(F.col(n).cast(schema("sync_runs")[n].dataType) if n in run.columns else F.lit(None).cast(schema("sync_runs")[n].dataType).alias(n) for n in names)).write.mode("append").parquet(f"{self.path}/sync_runs")
 
     def copy(self, sync_id: str, path: str) -> None:
         """R-29: one run alone, in a store of its own."""
         other = Store(self.spark, path)
         for table in TABLES:
-            other.put(table, self.read(table, sync_id))
+            if table != "sync_runs":
+                other.put(table, self.read(table, sync_id))
         other.finish(self.runs().where(F.col("sync_id") == sync_id))
 
     def convert(self, path: str, sync_id: str) -> DataFrame:
