@@ -32,7 +32,7 @@ from .common import cut
 from .text_stats import STATS, add_stats
 
 LEAST_WORDS, REPEATED = 10, 20
-H, STARTS = 0.75, 5
+H, STARTS = 0.75, 10
 #: Concentration steps between two tests whether determinants still fall, such rounds at most, and what counts as falling
 #: (of the logarithm of the determinant's root).
 STEPS, ROUNDS, STILL = 1, 20, 1e-3
