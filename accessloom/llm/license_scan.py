@@ -3,17 +3,19 @@
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. Base labels stand for short phrases whose
 words follow one another. Beyond these, texts are held against templates (the wording of licence notices):
 
-1. The licence words are the words of the templates that few templates share. Their document frequencies are counted
-   over all documents.
-2. Each document looks up its licence words of the highest inverse document frequency, RAREST of them; each place of such a word
-   is joined to the template places of the word (its postings), and a pair votes for the template at the relative
-   position (document place less template place).
-3. A template with votes at a position is verified there: its mandatory key phrase must stand at its place, and the score
-   is the share of the template's words that stand at theirs. Of MATCHED or more, the template's label is given.
-
-A document whose licence words are fewer than RAREST looks up all of them; the words beyond are only needed for texts in which
-a notice has none of the text's RAREST rarest licence words. For those, all places of a template's anchor (the rarest word of
-its key phrase) are always looked up, so that no notice with its key phrase is missed, whatever else the text holds.
+1. The licence words are the words of the templates that few templates share (of each key phrase one at least). Their document frequencies are counted
+   over all documents; the other words of the templates rank after them.
+2. Each document looks up its words of the highest inverse document frequency, as many as it takes: a template of n words
+   stands where at least q of them do, so once all but q - AGREE of its places (of words that the document has) are
+   looked up, AGREE places that were looked up agree. A template of which the document has too few words, or not all
+   words of the key phrase, asks for none.
+3. The postings of these words (template and place in it) are intersected by relative position, document place less template
+   place: AGREE places at least must agree on one.
+4. A template is verified where they agree: its mandatory key phrase must stand at its place, and the score is the share
+   of the template's words that stand at theirs. Of MATCHED or more, the template's label is given.
+
+So the rare words alone decide where a template is looked for, and no place is missed where it stands. All of this is
+done within the document's row: only the frequencies are shuffled.
 
 Contract: a null text counts as empty (no words, no places, empty labels, score 0). Every row gives a row, repeated rows and
 null ids included; other columns are ignored; an empty table gives no rows; texts of any length are scanned whole.
@@ -52,22 +54,24 @@ TEMPLATES = [
     ("mpl-2.0", "mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
 ]
-#: A word in more templates than this share is no licence word; words looked up for each document; least score of a label.
-COMMON, RAREST, MATCHED = 0.35, 8, 0.7
+#: A word in more templates than this share is no licence word; looked-up places that must agree; least score of a label.
+COMMON, AGREE, MATCHED = 0.35, 2, 0.7
+#: Bits of a position in a vote.
+BITS = 40
 
 
-def template_index() -> tuple[list[tuple[int, int, str]], set[str], list[dict]]:
-    """Postings (template, place, word) of licence words, the licence words, and each template's parts."""
-    spread = Counter(w for _, _, text in TEMPLATES for w in set(text.split()))
-    licence = {w for w, n in spread.items() if n <= COMMON * len(TEMPLATES) and len(w) > 2}
+def template_index() -> tuple[list[dict], set[str], list[str]]:
+    """Each template's parts, the licence words, and the other words of the templates, those of most templates last."""
     parts = []
     for label, key, text in TEMPLATES:
         words, phrase = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
-        anchor = min(phrase, key=lambda w: (w not in licence, spread[w], w))
-        parts.append({"label": label, "words": words, "key": key, "key_at": at, "anchor": anchor})
-    licence |= {p["anchor"] for p in parts}
-    return [(i, k, w) for i, p in enumerate(parts) for k, w in enumerate(p["words"]) if w in licence], licence, parts
+        least = next(n for n in range(len(words) + 1) if n / len(words) >= MATCHED)
+        parts.append({"label": label, "words": words, "key": phrase, "key_at": at, "least": least})
+    spread = Counter(w for p in parts for w in set(p["words"]))
+    licence = {w for w, n in spread.items() if n <= COMMON * len(parts) and len(w) > 2}
+    licence |= {min(p["key"], key=lambda w: (w not in licence, spread[w], w)) for p in parts}
+    return parts, licence, sorted(set(spread) - licence, key=lambda w: (spread[w], w))
 
 
 def spaced(text: Column) -> Column:
@@ -84,13 +88,69 @@ def any_of(phrases) -> str:
     return f" (?=(?:{'|'.join(sorted(phrases, key=lambda p: (-len(p), p)))}) )"
 
 
+def texts(words) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sought_words(own: Column, ranked: list[str], parts: list[dict]) -> Column:
+    """The first of own (the document's words of templates, rarest first) that suffice for AGREE agreeing places."""
+    rank = {w: i for i, w in enumerate(ranked)}
+
+    def need(p: dict) -> Column:
+        commonest_first = texts(sorted(p["words"], key=lambda w: -rank[w]))
+
+        def last(held: Column) -> Column:
+            possible = (F.size(held) >= p["least"]) & F.forall(texts(p["key"]), lambda w: F.array_contains(own, w))
+            return F.when(possible, F.array_position(own, F.get(held, F.lit(p["least"] - AGREE))))
+
+        return F.coalesce(bound(F.filter(commonest_first, lambda w: F.array_contains(own, w)), last), F.lit(0))
+
+    needs = [need(p) for p in parts]
+    return F.slice(own, 1, F.array_max(F.array(*needs)).cast("int"))
+
+
+def agreed(words: Column, sought: Column, parts: list[dict], reach: int) -> Column:
+    """Votes (template, then begin + reach in BITS bits) that AGREE places of sought words have in common."""
+    postings: dict[str, list[int]] = {}
+    for i, p in enumerate(parts):
+        for k, w in enumerate(p["words"]):
+            postings.setdefault(w, []).append((i << BITS) + reach - k)
+    index = F.create_map(*[c for w, codes in sorted(postings.items()) for c in (F.lit(w), F.array(*[F.lit(x).cast("long") for x in codes]))])
+    each = F.transform(words, lambda w, i: F.when(F.array_contains(sought, w), F.transform(F.element_at(index, w), lambda x: x + i)))
+    votes = F.sort_array(F.flatten(F.filter(each, lambda x: x.isNotNull())))
+    return bound(votes, lambda v: F.array_distinct(F.filter(v, lambda x, k: x == F.get(v, k - (AGREE - 1)))))
+
+
+def verified(words: Column, votes: Column, parts: list[dict], reach: int) -> Column:
+    """label, word (where the template begins) and score of the votes with their key phrase and MATCHED words in place."""
+    wording = F.array(*[F.struct(F.lit(p["label"]).alias("label"), texts(p["words"]).alias("words"), texts(p["key"]).alias("key"), F.lit(p["key_at"]).alias("key_at")) for p in parts])
+
+    def match(vote: Column) -> Column:
+        begin = (vote.bitwiseAND(F.lit((1 << BITS) - 1)) - reach).cast("int")
+
+        def held(p: Column) -> Column:
+            key_from = begin + p["key_at"]
+            stands = F.transform(p["words"], lambda w, i: F.when(F.get(words, begin + i) == w, 1).otherwise(0))
+            share = F.aggregate(stands, F.lit(0), lambda a, x: a + x) / F.size(p["words"])
+            key = (key_from >= 0) & (F.slice(words, F.greatest(key_from + 1, F.lit(1)), F.size(p["key"])) == p["key"])
+            return F.when(key, F.struct(p["label"].alias("label"), begin.alias("word"), share.alias("score")))
+
+        return bound(F.get(wording, F.shiftright(vote, BITS).cast("int")), held)
+
+    return F.array_sort(F.filter(F.transform(votes, match), lambda m: m["score"] >= MATCHED))
+
+
 def licences(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; and matches (label, word, score)."""
-    spark = docs.sparkSession
-    postings, licence, parts = template_index()
+    parts, licence, others = template_index()
     begun = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(text_of()).alias("spaced"))
     n_words = F.when(F.col("spaced") == "  ", F.lit(0)).otherwise(blanks(F.col("spaced")) - 1)
-    #: Texts without any licence word or base phrase need no words of their own.
+    #: Texts without any licence word or base phrase need no words of their own (each key phrase has a licence word).
     rare = F.col("spaced").rlike(" (?:" + "|".join(sorted(licence)) + ") ")
     cuts = F.split("spaced", any_of(BASE))
     begun = begun.select("doc_id", n_words.cast("long").alias("n_words"), F.when(rare | F.col("spaced").rlike(any_of(BASE)), F.col("spaced")).alias("spaced"), rare.alias("rare"))
@@ -105,38 +165,23 @@ def licences(docs: DataFrame) -> DataFrame:
         F.when(n_base > 0, F.col("n_words") - blanks(F.element_at("cuts", -1)).cast("long")).alias("last_word"),
         F.when(F.col("spaced").isNull(), F.array().cast("array<string>")).otherwise(base_labels).alias("base_set"),
         F.when(F.col("rare"), F.col("spaced")).alias("spaced"),
-        F.monotonically_increasing_id().alias("row"),
     )
     base = cut(base)
-    # Inverse document frequencies of the licence words over all documents.
-    vocabulary = F.array(*[F.lit(w) for w in sorted(licence)])
-    held = base.where("spaced is not null").select("row", F.split(F.btrim("spaced"), " ").alias("words"))
-    held = held.withColumn("own", F.array_intersect("words", vocabulary))
-    counts = held.select(F.explode("own").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # At most as many rows as there are licence words, whatever the input. The rarest come first: of the highest IDF.
-    ranked = F.array(*[F.lit(r["word"]) for r in counts.orderBy("df", "word").collect()]).cast("array<string>")
-    anchors = F.array(*[F.lit(w) for w in sorted({p["anchor"] for p in parts})])
-    sought = F.array_union(F.slice(F.array_intersect(ranked, F.col("own")), 1, RAREST), F.array_intersect("own", anchors))
-    looked = held.select("row", "words", sought.alias("sought"))
-    # Each place takes along the words around it that a template could cover, never the whole text.
+    split = F.split(F.btrim("spaced"), " ")
+    # Document frequencies of the licence words over all documents: as many rows as there are such words, whatever the input.
+    own = base.where("spaced is not null").select(F.explode(F.array_intersect(split, texts(sorted(licence)))).alias("word"))
+    df = {r["word"]: r["df"] for r in own.groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
+    # The rarest come first: of the highest inverse document frequency.
+    ranked = sorted(licence, key=lambda w: (df.get(w, 0), w)) + others
     reach = max(len(p["words"]) for p in parts)
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: F.array_contains("sought", x["word"]))
-    from_word = lambda x: F.greatest(x["place"] - reach, F.lit(0))
-    hits = F.transform(hits, lambda x: F.struct(x["place"].alias("place"), x["word"].alias("word"), from_word(x).alias("from"), F.slice("words", from_word(x) + 1, 2 * reach).alias("around")))
-    places = looked.select("row", F.explode(hits).alias("hit")).select("row", "hit.*")
-    index = F.broadcast(spark.createDataFrame(postings, "template int, at int, word string"))
-    votes = places.join(index, "word").select("row", "around", "template", (F.col("place") - F.col("at")).alias("begin"), "from")
-    table = spark.createDataFrame([(i, p["label"], p["words"], p["key"], p["key_at"]) for i, p in enumerate(parts)], "template int, label string, wording array<string>, key string, key_at int")
-    # A vote is verified where it stands; equal votes fold together afterwards, before any shuffle.
-    stand = lambda i, w: F.when(F.try_element_at("around", (F.col("begin") - F.col("from") + i + 1).cast("int")) == w, 1).otherwise(0)
-    valid = votes.join(F.broadcast(table), "template").where("begin + key_at >= 0")
-    n_key = F.size(F.split("key", " "))
-    valid = valid.where(F.array_join(F.slice("around", F.greatest(F.col("begin") - F.col("from") + F.col("key_at") + 1, F.lit(1)), n_key), " ") == F.col("key"))
-    share = F.aggregate(F.transform("wording", lambda w, i: F.when(F.col("begin") - F.col("from") + i >= 0, stand(i, w)).otherwise(0)), F.lit(0), lambda a, x: a + x) / F.size("wording")
-    matches = valid.select("row", "label", "begin", share.alias("score")).where(F.col("score") >= MATCHED).groupBy("row", "label", "begin").agg(F.max("score").alias("score"))
-    found = matches.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("label", F.col("begin").alias("word"), "score"))).alias("matches"))
-    joined = base.drop("spaced").join(found, "row", "left")
-    labels = F.array_sort(F.array_union("base_set", F.coalesce("found", F.array().cast("array<string>"))))
+
+    def found(words: Column) -> Column:
+        at = lambda own: bound(sought_words(own, ranked, parts), lambda sought: F.when(F.size(sought) > 0, agreed(words, sought, parts, reach)))
+        return verified(words, bound(F.array_intersect(texts(ranked), words), at), parts, reach)
+
+    matches = F.when(F.col("spaced").isNotNull(), bound(split, found))
+    joined = base.select("*", F.coalesce(matches, F.array().cast("array<struct<label string, word int, score double>>")).alias("matches"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_set", "matches.label")))
     return joined.select(
         "doc_id",
         "n_words",
@@ -145,7 +190,7 @@ def licences(docs: DataFrame) -> DataFrame:
         "last_word",
         F.array_join(F.array_sort(F.array_distinct("base_set")), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
-        F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce(F.array_max("matches.score"), F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
         "matches",
     )
 
@@ -154,7 +199,7 @@ def oracle() -> str:
     """The same rows by comparing every place of every text, as SQL."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE.items())
-    templates = ", ".join(f"('{p['label']}', {quoted(p['words'])}, {quoted(p['key'].split())}, {p['key_at']})" for p in template_index()[2])
+    templates = ", ".join(f"('{p['label']}', {quoted(p['words'])}, {quoted(p['key'])}, {p['key_at']})" for p in template_index()[0])
     held = "contains(s, ' ' || array_to_string({0}, ' ') || ' ')"
     places = "unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len({0})] = {0}))"
     share = "list_sum(list_transform(range(len(words)), lambda j: CASE WHEN b + j >= 0 AND w[b + j + 1] = words[j + 1] THEN 1 ELSE 0 END)) / len(words)"
