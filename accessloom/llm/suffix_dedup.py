@@ -1,11 +1,13 @@
 """Repeated passages by a sparse suffix array.
 
 Of all suffixes (by words, A-Z lower-cased) only those are retained that begin at minimisers: of the GRAM-word runs in each
-window of `words` words, the first with the least hash. Two equal windows select the same place in both. Suffixes are ordered
-by the hash of their first words, and equal neighbours in that order are brought together by grouping (a sort would give all
-of a frequent suffix to one task; a grouping combines it before the shuffle). Then matches are extended: first over all
-words to the left and right that the windows of a minimiser cover (one hash a suffix), then, only where suffixes agree at
-first but their surroundings differ, window by window. Runs of matched windows make maximal passages.
+window of `words` words, the first with the least hash. Two equal windows select the same place in both. The suffixes are
+sorted by the hash of their first words, then by the hash of all words to the left and right that the windows of the minimiser
+cover, then by document and place: in ranges, so that a frequent suffix is split among as many tasks as it needs, and within
+them. Each suffix is compared with its neighbour before it; the neighbours across the bounds of ranges are compared on the
+driver, from three rows a range. Matches are then extended: a suffix whose neighbour agrees in all that is covered is a match
+over all of it; where neighbours agree at first but their surroundings differ, their windows are compared one by one. Runs
+of matched windows make maximal passages.
 
 A passage is a run of words, each in a window of `words` words that also occurs earlier: in a document of a smaller id or
 further left in the same one. The first occurrence is never reported; each passage names an earlier occurrence.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +75,78 @@ def suffix_rows(words: int, gram: int):
     return run
 
 
+#: What comparing neighbours finds: a match with the neighbour before, a suffix whose windows are wanted, and of each range its
+#: first row (turns: whether the suffix of that row has other surroundings further on), its last, and the first of the last one's suffix.
+MATCH, WANTED, FIRST, LAST, HEAD = range(5)
+MARKS = "kind int, range int, suffix long, around long, none boolean, doc_id long, first int, n int, start int, stop int, turns boolean, source_none boolean, source long, source_first int"
+SORTED = ["suffix", "around", "none", "doc_id", "first", "n", "start", "stop"]
+
+
+def neighbour_rows(batches):
+    """Marks of one sorted range of suffixes. Rows that repeat a document and place are left out."""
+    number = TaskContext.get().partitionId()
+    schema = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for c, t in (x.split() for x in MARKS.split(", "))])
+    before = begin = head = None
+    runs, turns = 0, False
+
+    def marks(kind, rows, sources=None, turns=False):
+        size = len(rows["suffix"])
+        none, source, first = (sources[c] for c in SORTED[2:5]) if sources else (np.zeros(size, bool), np.zeros(size, np.int64), np.zeros(size, np.int32))
+        cols = [np.full(size, kind), np.full(size, number), *rows.values(), np.full(size, turns), none, source, first]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in SORTED}
+        if not len(rows["suffix"]):
+            continue
+        one = lambda rows, i: {c: v[i : i + 1] if i >= 0 else v[-1:] for c, v in rows.items()}
+        prior = {c: np.concatenate([(before or one(rows, 0))[c], v[:-1]]) for c, v in rows.items()}
+        equal = {c: rows[c] == prior[c] for c in SORTED[:5]}
+        if before is None:
+            begin = one(rows, 0)
+            equal["suffix"][0] = False
+        suffix = equal["suffix"]
+        around = suffix & equal["around"]
+        new = ~(around & equal["none"] & equal["doc_id"] & equal["first"])
+        some = lambda rows, at: {c: v[at] for c, v in rows.items()}
+        yield marks(MATCH, some(rows, around & new), some(prior, around & new))
+        # Where surroundings change within a suffix, the windows of that row and of the suffix's first row are wanted.
+        change, run = suffix & ~around, np.cumsum(~suffix)
+        begins, changed = np.flatnonzero(~suffix), np.unique(run[change])
+        yield marks(WANTED, some(rows, np.concatenate([np.flatnonzero(change), begins[changed[changed > 0] - 1]])))
+        if len(changed) and changed[0] == 0:
+            yield marks(WANTED, head)
+        turns |= bool((changed + runs == 1).any())
+        runs += len(begins)
+        head = one(rows, int(begins[-1])) if len(begins) else head
+        before = one(rows, -1)
+    if before:
+        yield marks(FIRST, begin, turns=turns)
+        yield marks(LAST, before)
+        yield marks(HEAD, head)
+
+
+def across_ranges(edges: list[dict]) -> list[dict]:
+    """The marks of neighbours in different ranges, from the FIRST, LAST and HEAD marks of all."""
+    out, head, last = [], None, None
+    for number in sorted({e["range"] for e in edges}):
+        mine = {e["kind"]: e for e in edges if e["range"] == number}
+        first, goes_on = mine[FIRST], last is not None and last["suffix"] == mine[FIRST]["suffix"]
+        if goes_on:
+            same = last["around"] == first["around"]
+            place = lambda e: (e["none"], e["doc_id"], e["first"])
+            if same and place(last) != place(first):
+                out.append(first | {"kind": MATCH, "source_none": last["none"], "source": last["doc_id"], "source_first": last["first"]})
+            if not same:
+                out.append(first | {"kind": WANTED})
+            if not same or first["turns"]:
+                out.append(head | {"kind": WANTED})
+        last = mine[LAST]
+        if not goes_on or last["suffix"] != first["suffix"]:
+            head = mine[HEAD]
+    return out
+
+
 WINDOWS = "window long, doc_id long, first int, start int, stop int"
 
 
@@ -127,15 +202,16 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM) ->
     source_doc_id and source_word of an earlier occurrence of its beginning."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     suffixes = cut(over(rows, suffix_rows(words, gram), SUFFIXES))
+    keyed = suffixes.withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long"))).select(SORTED)
+    marks = cut(over(keyed.repartitionByRange(*SORTED[:5]).sortWithinPartitions(*SORTED[:5]), neighbour_rows, MARKS))
+    # Three rows a range, whatever the documents hold.
+    edges = [r.asDict() for r in marks.where(F.col("kind") >= FIRST).collect()]
+    marks = marks.union(docs.sparkSession.createDataFrame([tuple(e.values()) for e in across_ranges(edges)], MARKS))
+    marks = marks.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).withColumn("source", F.when(~F.col("source_none"), F.col("source")))
+    whole = marks.where(F.col("kind") == MATCH)
+    whole = whole.select("doc_id", "first", (F.col("first") + F.col("n") + (words - 1)).alias("last"), "start", "stop", "source", "source_first")
+    wanted = marks.where(F.col("kind") == WANTED).groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_set(F.struct("first", "n")).alias("wanted"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "first")
-    classes = suffixes.groupBy("suffix", "around").agg(F.min(rank).alias("head"), F.max(rank).alias("tail"))
-    kinds = classes.groupBy("suffix").agg(F.count(F.lit(1)).alias("kinds"))
-    kept = cut(classes.join(kinds, "suffix").where("kinds > 1 or head <> tail"))
-    repeats = suffixes.join(kept, ["suffix", "around"])
-    whole = repeats.where(rank != F.col("head"))
-    whole = whole.select("doc_id", "first", (F.col("first") + F.col("n") + (words - 1)).alias("last"), "start", "stop", F.col("head.doc_id").alias("source"), F.col("head.first").alias("source_first"))
-    heads = repeats.where((rank == F.col("head")) & (F.col("kinds") > 1))
-    wanted = heads.groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_set(F.struct("first", "n")).alias("wanted"))
     again = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["want_id"])).select("doc_id", "text", "wanted")
     windows = cut(over(again, window_rows(words), WINDOWS))
     firsts = windows.groupBy("window").agg(F.min(rank).alias("head"), F.max(rank).alias("tail")).where("head <> tail").select("window", "head")

@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from accessloom.llm import suffix_dedup as S
 from accessloom.llm.suffix_dedup import repeated_passages
 
 
@@ -18,6 +20,32 @@ def brute(texts, n):
     return out
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """So many ranges that suffixes, and rows of one suffix, lie on both sides of their bounds."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "61"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_neighbours_across_ranges(spark, many_ranges):
+    test_passages_equal_brute_force(spark)
+
+
+def test_across_ranges_carries_the_first_row_of_a_suffix_on():
+    row = lambda kind, number, around, doc, turns=False: {"kind": kind, "range": number, "suffix": 7, "around": around, "none": False, "doc_id": doc, "first": 0, "turns": turns}
+    ranges = [(0, 1, 10, 1, 10), (1, 1, 11, 1, 11), (3, 1, 11, 1, 12), (4, 2, 9, 2, 13)]
+    edges = [row(k, n, a, d) for n, a, d, z, e in ranges for k, a, d in ((S.FIRST, a, d), (S.LAST, z, e), (S.HEAD, a, d))]
+    got = [(e["kind"], e["doc_id"], e.get("source")) for e in S.across_ranges(edges)]
+    assert got == [(S.MATCH, 11, 10), (S.WANTED, 9, None), (S.WANTED, 10, None)]
+    edges[6]["turns"] = True
+    assert (S.WANTED, 10) in [(e["kind"], e["doc_id"]) for e in S.across_ranges(edges[:9])]
+
+
 def test_passages_equal_brute_force(spark):
     rng = np.random.default_rng(11)
     vocab = ["wörd%d" % i if i % 7 == 0 else "w%d" % i for i in range(300)]
