@@ -6,13 +6,19 @@ counted over all texts (the list of LAST affects speed alone). Rows that meet in
 places and parity bitmaps (which bound the sets' difference from below) allow a similarity of 4/5. First a tree over each
 element's candidates is verified on the texts, together with the pairs of near fingerprints; then all candidates that are not
 connected yet. So only pairs that could still join two components are ever compared.
+
+Two rows that meet in an element have mostly met in an earlier one. A row carries the BEFORE shared elements that precede it in
+its text; rows that have one of them in common are passed over, as they are candidates there too (earlier places allow no less).
+The last candidates are found by longer bitmaps, of those texts alone that are a candidate of any other.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, over
@@ -23,6 +29,12 @@ WORDS = 5
 #: Texts whose first shingles hold one that is put last, and how many shingles are put last at most.
 FREQUENT, LAST = 16, 200_000
 BITS = 512
+#: Bits of the last candidates' bitmaps: so many that few pairs pass them that are not near copies.
+WIDE = 4096
+#: Shared elements before its own that a row carries; a pair that has none of them in common is made again.
+BEFORE = 4
+#: Rows of a key of which each looks for another that allows a similarity of 4/5; of more rows by sizes alone.
+FEW = 16
 #: Sets that a task remembers to have given.
 SEEN = 1_000_000
 
@@ -39,9 +51,9 @@ def shingle_sets(column: pa.Array):
             yield np.unique(gram_hashes(words[a:b], min(WORDS, int(b - a)))) if b > a else np.empty(0, np.uint64)
 
 
-def parity(found: np.ndarray) -> bytes:
-    """For each of BITS classes of shingles, whether the set has an odd number of them."""
-    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1 > 0).tobytes()
+def parity(found: np.ndarray, bits: int = BITS) -> bytes:
+    """For each of that many classes of shingles, whether the set has an odd number of them."""
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1 > 0).tobytes()
 
 
 def fingerprint(found: np.ndarray) -> np.uint64:
@@ -65,6 +77,13 @@ def set_rows(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["at", "node", "n", "bits", "print"])
 
 
+def wide_rows(batches):
+    """Of each text (node, text): its node and its long parity bitmap."""
+    for batch in batches:
+        bits = [parity(x, WIDE) for x in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+
 def prefix_rows(last: np.ndarray):
     """The elements of each text's prefix, with its node and the place of each in the order. Of equal sets a task gives one."""
 
@@ -128,25 +147,44 @@ def bounds_of(key: np.ndarray) -> np.ndarray:
 
 
 def meeting(batches):
-    """The rows of keys that more than one row has, in rows sorted by key."""
+    """The rows that may be near copies of another of their key (of large keys by sizes alone), in rows sorted by key, n and node."""
     for part in grouped(batches):
-        bounds = bounds_of(part.column(0).to_numpy())
-        yield part.filter(pa.array(np.repeat(np.diff(bounds) > 1, np.diff(bounds))))
+        key, n, place = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64)
+        sizes = np.diff(bounds_of(key))
+        few = np.repeat(sizes <= FEW, sizes)
+        met = np.zeros(len(key), bool)
+        for step in range(1, min(FEW, int(sizes.max(initial=0)))):
+            x = np.flatnonzero((key[step:] == key[:-step]) & (5 * n[:-step] >= 4 * n[step:]) & (few[step:] | (step == 1)))
+            y = x + step
+            x, y = (z[~few[x] | may_be(n[x], n[y], place[x], place[y])] for z in (x, y))
+            met[x] = met[y] = True
+        yield part.filter(pa.array(met))
 
 
 def candidates(tree: bool):
-    """Pairs (u, v) of the rows of a key (key, node, n, place, root, bits; sorted by key) that have different roots and may be
-    near copies: all of them, or only a tree of each connected group of them."""
+    """Pairs (u, v) of the rows of a key (key, node, n, place, root, bits, and the elements before; sorted by key) that have
+    different roots and may be near copies: all of them, or only a tree of each connected group of them. Rows with a common
+    element before are left to it."""
 
     def run(batches):
         for part in grouped(batches):
             key, node, n, place, root = (part.column(i).to_numpy() for i in range(5))
             n = n.astype(np.int64)
+            before = [part.column(i).to_numpy() for i in range(6, part.num_columns)]
             bits = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
 
-            def near(x, among):
-                """The rows of among that may be near copies of the row x."""
-                y = among[(root[among] != root[x]) & may_be(n[among], n[x], place[among], place[x])]
+            def new(x, y):
+                """The rows of y that the row x has not met before."""
+                for a in before:
+                    for b in before:
+                        y = y[a[y] != b[x]]
+                return y
+
+            def near(x, y):
+                """The rows of y that may be near copies of the row x."""
+                y = y[(root[y] != root[x]) & may_be(n[y], n[x], place[y], place[x])]
+                if not tree:
+                    y = new(x, y)
                 return y[9 * np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) <= n[y] + n[x]]
 
             us, vs = [], []
@@ -159,10 +197,11 @@ def candidates(tree: bool):
                         while stack and len(rest):
                             x = stack.pop()
                             y = near(x, rest)
-                            us.append(np.full(len(y), node[x]))
-                            vs.append(node[y])
                             stack.extend(y)
                             rest = rest[~np.isin(rest, y, assume_unique=True)]
+                            y = new(x, y)
+                            us.append(np.full(len(y), node[x]))
+                            vs.append(node[y])
                     continue
                 roots, of, counts = np.unique(root[a:b], return_inverse=True, return_counts=True)
                 if len(roots) > 1:  # all but the rows of the most frequent root, each with the rows that are not of its own
@@ -194,19 +233,31 @@ FILTERS = {
 }
 
 
+@contextmanager
+def filters(spark: SparkSession):
+    before = {k: spark.conf.get(k) for k in FILTERS}
+    for k, v in FILTERS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar; places: node, at of one of its texts; texts: at, text."""
-    conf = pairs.sparkSession.conf
-    before = {k: conf.get(k) for k in FILTERS}
     placed = cut(pairs.join(places.toDF("u", "x"), "u").join(places.toDF("v", "y"), "v").select("u", "v", "x", "y"))
-    for k, v in FILTERS.items():
-        conf.set(k, v)
-    try:
+    with filters(pairs.sparkSession):
         both = placed.where("u < v").join(texts.toDF("x", "a"), "x").join(texts.toDF("y", "b"), "y").select("u", "v", "a", "b")
         return cut(over(both, similar, "u long, v long"))
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
+
+
+def wide_bits(nodes: DataFrame, texts: DataFrame, places: DataFrame) -> DataFrame:
+    """node, bits: the long parity bitmaps of the nodes (node); at is never negative (Spark filters by sides that have a condition)."""
+    placed = cut(nodes.join(places, "node").select("at", "node"))
+    with filters(nodes.sparkSession):
+        return cut(over(placed.where("at >= 0").join(texts, "at").select("node", "text"), wide_rows, "node long, bits binary"))
 
 
 def frequent(texts: DataFrame) -> np.ndarray:
@@ -219,24 +270,34 @@ def frequent(texts: DataFrame) -> np.ndarray:
 PREFIXES = "key long, node long, n int, place int"
 
 
-def near_components(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
-    """node, root of the nodes that are linked; nodes: node, at, bits, each node once; texts: at, text; likely: pairs (u, v)."""
-    places = nodes.select("node", "at")
+def meetings(texts: DataFrame) -> DataFrame:
+    """The rows of prefixes that meet in a key, with the BEFORE keys that precede each in its text (where there is none, its node)."""
     prefixes = over(texts.select("text"), prefix_rows(frequent(texts)), PREFIXES).repartition("key").sortWithinPartitions("key", "n", "node")
-    met = cut(over(prefixes, meeting, PREFIXES))
+    order = Window.partitionBy("node").orderBy("place")
+    before = [F.coalesce(F.lag("key", i).over(order), "node").alias(f"before{i}") for i in range(1, BEFORE + 1)]
+    return over(prefixes, meeting, PREFIXES).select("*", *before)
+
+
+def pairs(met: DataFrame, nodes: DataFrame, tree: bool) -> DataFrame:
+    """Pairs (u, v) of nodes (node, root, bits) that meet; see candidates."""
+    before = [c for c in met.columns if c.startswith("before")]
+    rows = met.join(nodes, "node").select("key", "node", "n", "place", "root", "bits", *before)
+    return over(rows.repartition("key").sortWithinPartitions("key", "n", "node"), candidates(tree), "u long, v long")
 
-    def pairs(root_of: DataFrame, tree: bool) -> DataFrame:
-        rows = met.join(root_of, "node").select("key", "node", "n", "place", "root", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
-        return over(rows, candidates(tree), "u long, v long")
 
+def near_components(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
+    """node, root of the nodes that are linked; nodes: node, at, bits, each node once; texts: at, text; likely: pairs (u, v)."""
+    places = nodes.select("node", "at")
+    met = cut(meetings(texts))
     alone = nodes.select("node", F.col("node").alias("root"), "bits")
-    tried = cut(likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(pairs(alone, True)).distinct())
+    tried = cut(likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(pairs(met, alone, True)).distinct())
     roots = components(verified(tried, texts, places))
-    held = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits"))
-    rest = cut(pairs(held, False).distinct().join(tried, ["u", "v"], "left_anti"))
+    root_of = cut(places.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    able = tried.select("u").union(tried.select("v")).distinct().toDF("node")  # a node that may be linked to any is in a tree
+    held = root_of.join(wide_bits(able, texts, places), "node").select("node", "root", "bits")
+    rest = cut(pairs(met, held, False).distinct().join(tried, ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return roots
-    root_of = held.select("node", "root")
     joined = verified(rest, texts, places).join(root_of.toDF("u", "x"), "u").join(root_of.toDF("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     tops = components(joined).toDF("root", "top")
     return root_of.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))

@@ -76,3 +76,69 @@ def test_pairs_are_linked_by_trees_first():
     assert tree.num_rows == n - 1
     [every] = list(N.candidates(False)(iter([batch])))
     assert every.num_rows == n * (n - 1) // 2
+
+
+def edited(base, changes, rng):
+    """The text with that many words changed, far enough apart that each changes five shingles."""
+    words = list(base)
+    for at in rng.choice(len(base) // 6, changes, replace=False):
+        words[6 * at + 2] = "e%d" % rng.integers(1 << 40)
+    return " ".join(words)
+
+
+def test_pairs_that_meet_in_many_shingles_are_made_about_once(spark):
+    """Pairs are as good as distinct over tasks and batches, and the same ones as without the keys before."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(3):
+        base = ["w%d" % x for x in rng.integers(0, 10_000, 400)]
+        texts += [edited(base, int(rng.integers(3, 6)), rng) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "at long, text string")
+    met = N.cut(N.meetings(docs))
+    sets = N.cut(N.over(docs, N.set_rows, "at long, node long, n int, bits binary, print long"))
+    nodes = N.cut(sets.selectExpr("node", "node as root", "bits"))
+    plain = met.select("key", "node", "n", "place")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(batch)
+    for tree in (True, False):
+        spark.conf.set(batch, 500)
+        try:
+            made, often = ([tuple(sorted((r.u, r.v))) for r in N.pairs(x, nodes, tree).collect()] for x in (met, plain))
+        finally:
+            spark.conf.set(batch, was)
+        assert len(made) < 1.3 * len({*made})
+        if not tree:
+            assert {*made} == {*often} and len(often) > 2 * len({*often})
+            continue
+        for found in ({*made}, {*often}):
+            group = {x: x for r in found for x in r}
+            for u, v in found:
+                a, b = group[u], group[v]
+                group = {x: a if g == b else g for x, g in group.items()}
+            assert len(group) == len(texts) and len({*group.values()}) == 3
+
+
+def test_long_bitmaps_pass_few_pairs_that_are_no_near_copies():
+    """Texts of 396 shingles whose sets differ in 100 (88 are allowed): few of the pairs that 512 bits let pass remain."""
+    rng = np.random.default_rng(7)
+    base = ["w%d" % x for x in rng.integers(0, 10_000, 400)]
+    sets = [next(iter(N.shingle_sets(N.pa.array([edited(base, 5, rng)])))) for _ in range(40)]
+    passed = {}
+    for bits in (N.BITS, N.WIDE):
+        maps = [np.frombuffer(N.parity(s, bits), np.uint64) for s in sets]
+        apart = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.setxor1d(sets[i], sets[j])) == 100]
+        passed[bits] = sum(9 * int(np.bitwise_count(maps[i] ^ maps[j]).sum()) <= 2 * 396 for i, j in apart)
+    assert len(apart) > 300 and passed[N.WIDE] < passed[N.BITS] / 5
+
+
+def test_a_large_group_on_both_sides_of_four_fifths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, words in enumerate((400, 1500)):
+        base = ["w%d" % x for x in rng.integers(0, 10_000, words)]
+        low, high = (3, 8) if words == 400 else (14, 24)
+        rows += [(1000 * n + i, edited(base, int(rng.integers(low, high)), rng)) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = leaders(rows)
+    assert 10 < len(want) < 130
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == want
