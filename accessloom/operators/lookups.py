@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import dealt
+
 PRINCIPAL = ["principal_resource_type_id", "principal_resource_id"]
 RESOURCE = ["resource_type_id", "resource_id"]
 
@@ -85,8 +87,9 @@ def user_principals(grants: DataFrame, resources: DataFrame, resource_types: Dat
 def user_counts(grants: DataFrame, resources: DataFrame, resource_types: DataFrame) -> DataFrame:
     """R-50: every resource with its number of distinct user principals, zero included."""
     users = grants.join(user_types(resource_types).withColumnRenamed("resource_type_id", "principal_resource_type_id"), "principal_resource_type_id", "left_semi")
-    counts = users.groupBy(*RESOURCE).agg(F.count_distinct(F.struct(*PRINCIPAL)).alias("n"))
-    return resources.join(counts, RESOURCE, "left").withColumn("users", F.coalesce("n", F.lit(0))).drop("n")
+    once = dealt(users.select(*RESOURCE, *PRINCIPAL), *RESOURCE, *PRINCIPAL).distinct()
+    counts = once.groupBy(*RESOURCE).agg(F.count(F.lit(1)).alias("n"))
+    return resources.join(counts.hint("merge"), RESOURCE, "left").withColumn("users", F.coalesce("n", F.lit(0))).drop("n")
 
 
 def emails_of(df: DataFrame) -> Column:

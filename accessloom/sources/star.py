@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import dealt, tasks
 from ..schemas import schema
 
 OLD, NEW = "sync-1", "sync-2"
@@ -117,8 +118,11 @@ def grants(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataF
     everyone = F.array().cast("array<string>")
     nations = t("nation")
     orders = t("orders").where(F.col("o_orderdate") < before) if before else t("orders")
-    bought = orders.join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.min("o_orderdate").alias("at"))
-    sold = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    n = tasks(orders.crossJoin(t("lineitem")))
+    ordered, lines = orders.repartition(n, "o_orderkey"), t("lineitem").repartition(n, "l_orderkey")
+    pairs = lines.join(ordered.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey", "o_orderdate")
+    bought = dealt(pairs, "o_custkey", "l_partkey").groupBy("o_custkey", "l_partkey").agg(F.min("o_orderdate").alias("at"))
+    sold = dealt(t("lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").distinct()
     even = t("supplier").where("s_suppkey % 2 = 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     parts = [
         t("customer").select(*grant("nation", text("c_nationkey"), "member", "customer", text("c_custkey"), begin)),
