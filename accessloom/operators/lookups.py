@@ -65,7 +65,8 @@ def access_for_resource(grants: DataFrame, resource_type_id: str, resource_id: s
 
 def access_counts(grants: DataFrame) -> DataFrame:
     """R-47: distinct principals of each resource by their type."""
-    return grants.groupBy(*RESOURCE, "principal_resource_type_id").agg(F.count_distinct("principal_resource_id").alias("principals"))
+    once = dealt(grants.select(*RESOURCE, *PRINCIPAL), *RESOURCE, *PRINCIPAL).distinct()
+    return once.groupBy(*RESOURCE, "principal_resource_type_id").agg(F.count("principal_resource_id").alias("principals"))
 
 
 def principals(grants: DataFrame, resources: DataFrame) -> DataFrame:

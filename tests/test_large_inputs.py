@@ -1,6 +1,6 @@
 """Plans whose memory, shuffles and passes over the input are to stay in proportion to it."""
 
-from accessloom.operators import graph
+from accessloom.operators import graph, lookups
 
 from .helpers import entitlements, grants
 
@@ -23,3 +23,16 @@ def test_rules_meet_only_the_entitlements_that_they_name(spark):
     assert plan(found).count("Join LeftSemi") == 2
     gone = graph.invalid(graph.edges(gs, ents), ents.where("external_id <> 'team:1:in'"))
     assert [tuple(r) for r in gone.collect()] == [("team:1:in", "team:2:in", "unknown src")]
+
+
+def test_counts_of_principals_are_dealt_by_the_size_of_the_input(spark):
+    gs, ents = nested(spark)
+    gs = gs.union(gs)
+    counts = lookups.access_counts(gs)
+    assert {tuple(r) for r in counts.collect()} == {("team", "1", "user", 1), ("team", "2", "team", 1), ("team", "9", "user", 1)}
+    assert "RepartitionByExpression" in plan(counts)
+    types = spark.createDataFrame([("user", ["USER"])], "external_id string, traits array<string>")
+    things = ents.select("resource_type_id", "resource_id").where("resource_id < '3'")
+    users = lookups.user_counts(gs, things, types)
+    assert {(r.resource_id, r.users) for r in users.collect()} == {("0", 0), ("1", 1), ("2", 0)}
+    assert "RepartitionByExpression" in plan(users)
