@@ -20,6 +20,8 @@ PRINCIPAL = ["principal_resource_type_id", "principal_resource_id"]
 NONE = "cast(map() as map<string,boolean>)"
 #: Layers of edges beyond which expansion stops with an error.
 DEPTH = 20
+#: Entitlements beyond which their grants are found by a join.
+FEW = 1000
 
 
 def sources_of(column: str = "sources") -> Column:
@@ -31,6 +33,20 @@ def direct(source: Column) -> Column:
     return (F.size(sources_of()) == 0) | F.map_contains_key(sources_of(), source)
 
 
+def among(df: DataFrame, ids: list[str], column: str = "entitlement_id") -> DataFrame:
+    """Rows of those entitlements. A few are named in the plan: the filter goes down to the scans, and no other row is dealt out."""
+    if len(ids) <= FEW:
+        return df.where(F.col(column).isin(ids))
+    return df.join(df.sparkSession.createDataFrame([(e,) for e in ids], f"{column} string"), column, "left_semi").select(*df.columns)
+
+
+def besides(df: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows of all other entitlements."""
+    if len(ids) <= FEW:
+        return df.where(F.col("entitlement_id").isNull() | ~F.col("entitlement_id").isin(ids))
+    return df.join(df.sparkSession.createDataFrame([(e,) for e in ids], "entitlement_id string"), "entitlement_id", "left_anti").select(*df.columns)
+
+
 def contributions(current: DataFrame, nodes: DataFrame, layer_edges: DataFrame) -> DataFrame:
     """R-75: node, principal and the sources that reach them, with their directness."""
     own = current.where(F.col("principal_resource_type_id").isNotNull() & F.col("principal_resource_id").isNotNull())
@@ -73,19 +89,19 @@ def run(grants: DataFrame, entitlements: DataFrame, shape: G.Plan, only: set[int
     nodes = spark.createDataFrame(sorted((e, n) for e, n in shape.node.items()), known)
     rows = [(a, b, shallow, list(types), shape.layer[b]) for (a, b), (shallow, types) in shape.edges.items() if b in into]
     every = spark.createDataFrame(rows, T._parse_datatype_string("from int, to int, shallow boolean, types array<string>, layer int"))
-    targets = nodes.where(F.col("node").isin(sorted(into))) if len(into) < 1000 else nodes.join(every.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("entitlement_id", "node")
-    placed = targets.join(every.groupBy(F.col("to").alias("node")).agg(F.first("layer").alias("layer")), "node")
-    # Rows of destinations are read once for each layer: by a filter that the scan of a written table can use.
-    own = written(grants.join(placed.select("entitlement_id", "layer"), "entitlement_id"))
-    rest = grants.join(targets, "entitlement_id", "left_anti")
-    # Of all other rows only those of sources are read again with each layer.
-    senders = nodes.join(every.select(F.col("from").alias("node")).distinct(), "node", "left_semi").select("entitlement_id")
-    current, out = written(rest.join(senders, "entitlement_id", "left_semi")), rest
+    goals = sorted(e for e, n in shape.node.items() if n in into)
+    sending = {a for a, b in shape.edges if b in into}
+    senders = sorted(e for e, n in shape.node.items() if n in sending)
+    placed = spark.createDataFrame([(e, shape.node[e], shape.layer[shape.node[e]]) for e in goals], known + ", layer int")
+    # Layers read the rows of destinations and sources alone: these are written once, and all grants are computed but for the result.
+    near = written(among(grants, sorted({*goals, *senders})))
+    own, entitlements = among(near, goals), among(entitlements, goals, "external_id")
+    current, out = among(besides(near, goals), senders), besides(grants, goals)
     layers = sorted({layer for *_, layer in rows})
     for layer in layers:
         given = contributions(current, nodes, every.where(F.col("layer") == layer)).withColumnRenamed("to", "node")
         given = given.join(placed.where(F.col("layer") == layer).select("node", "entitlement_id"), "node").drop("node")
-        existing = own.where(F.col("layer") == layer).select(*grants.columns)
+        existing = among(own, [e for e in goals if shape.layer[shape.node[e]] == layer])
         done = written(merged(existing, given, entitlements))
         current, out = current.unionByName(done), out.unionByName(done)
     return Expanded(out, "full", len(layers))
@@ -167,8 +183,6 @@ def expand_changes(expanded: DataFrame, entitlements: DataFrame, was: DataFrame,
         out = run(rollback(expanded), entitlements, shape)
         return Expanded(out.grants, f"full: {reason}", out.layers)
     ids = [e for e, n in shape.node.items() if n in affected]
-    spark = expanded.sparkSession
-    part = spark.createDataFrame([(e,) for e in ids], "entitlement_id string")
-    fresh = rollback(expanded.join(part, "entitlement_id", "left_semi")).unionByName(expanded.join(part, "entitlement_id", "left_anti"))
+    fresh = rollback(among(expanded, ids)).unionByName(besides(expanded, ids))
     out = run(fresh, entitlements, shape, affected)
     return Expanded(out.grants, "incremental", out.layers)

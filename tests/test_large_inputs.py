@@ -1,8 +1,8 @@
 """Plans whose memory, shuffles and passes over the input are to stay in proportion to it."""
 
-from accessloom.operators import graph, lookups
+from accessloom.operators import expand, graph, lookups
 
-from .helpers import entitlements, grants
+from .helpers import entitlements, grants, shown
 
 
 def plan(df):
@@ -25,6 +25,21 @@ def test_rules_meet_only_the_entitlements_that_they_name(spark):
     assert [tuple(r) for r in gone.collect()] == [("team:1:in", "team:2:in", "unknown src")]
 
 
+def test_expansion_deals_out_no_other_grants(spark):
+    gs, ents = nested(spark)
+    out = expand.expand(gs, ents).grants
+    assert "Join" not in plan(out)
+    assert {r[0] for r in shown(out)} == {"team:1:in:user:a", "team:2:in:team:1", "team:9:in:user:z", "team:2:in:user:a"}
+
+
+def test_many_and_few_entitlements_give_the_same_rows(spark, monkeypatch):
+    gs, ents = nested(spark)
+    lone = gs.withColumn("entitlement_id", gs.entitlement_id.substr(1, 0)).limit(0).unionByName(gs)
+    few = shown(expand.expand(lone, ents).grants)
+    monkeypatch.setattr(expand, "FEW", 0)
+    assert shown(expand.expand(lone, ents).grants) == few
+
+
 def test_counts_of_principals_are_dealt_by_the_size_of_the_input(spark):
     gs, ents = nested(spark)
     gs = gs.union(gs)
