@@ -6,29 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import dealt
 from ..schemas import KEYS
 
 #: Columns that say which run saw a row, and when: no part of what is compared.
 OUTSIDE = ("sync_id", "discovered_at")
 
 
-def comparable(field: T.StructField) -> Column:
+def comparable(column: Column, kind: T.DataType) -> Column:
     """Maps have no equality: their entries in order have."""
-    return F.sort_array(F.map_entries(field.name)).alias(field.name) if isinstance(field.dataType, T.MapType) else F.col(field.name)
-
-
-def payload(df: DataFrame, table: str) -> Column:
-    return F.struct(*(comparable(f) for f in df.schema if f.name not in (*OUTSIDE, *KEYS[table])))
+    return F.sort_array(F.map_entries(column)) if isinstance(kind, T.MapType) else column
 
 
 def changes(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
-    """R-90: created, deleted and modified rows: the new row, or of deleted ones the old, and change."""
+    """R-90: created, deleted and modified rows: the new row, or of deleted ones the old, and change. Each column goes through the
+    join once a side, and those that are neither compared nor asked for do not."""
     key = KEYS[table]
-    side = lambda df, n: df.select(*key, payload(df, table).alias(f"{n}_payload"), F.struct(*new.columns).alias(n))
-    both = side(old, "old").join(side(new, "new"), key, "full_outer")
-    change = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(~F.col("old_payload").eqNullSafe(F.col("new_payload")), "modified")
+    others = [c for c in new.columns if c not in key]
+    compared = [f for f in old.schema if f.name not in (*OUTSIDE, *key)]
+    side = lambda df, n: df.select(*key, *(F.col(c).alias(f"{n}_{c}") for c in df.columns if c not in key), F.lit(True).alias(n))
+    both = dealt(side(old, "_old"), *key).join(side(new, "_new"), key, "full_outer")
+    same = F.lit(True)
+    for f in compared:
+        same = same & comparable(F.col(f"_old_{f.name}"), f.dataType).eqNullSafe(comparable(F.col(f"_new_{f.name}"), f.dataType))
+    change = F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNull(), "deleted").when(~same, "modified")
     both = both.withColumn("change", change).where(F.col("change").isNotNull())
-    return both.select(F.coalesce("new", "old").alias("row"), "change").select("row.*", "change")
+    row = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c) for c in others}
+    return both.select(*(row.get(c, F.col(c)) for c in new.columns), "change")
 
 
 def additive(base: DataFrame, applied: DataFrame, table: str, sync_id: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Plans whose memory, shuffles and passes over the input are to stay in proportion to it."""
 
-from accessloom.operators import expand, graph, lookups
+from accessloom.operators import diff, expand, graph, lookups
 
 from .helpers import entitlements, grants, shown
 
@@ -51,3 +51,14 @@ def test_counts_of_principals_are_dealt_by_the_size_of_the_input(spark):
     users = lookups.user_counts(gs, things, types)
     assert {(r.resource_id, r.users) for r in users.collect()} == {("0", 0), ("1", 1), ("2", 0)}
     assert "RepartitionByExpression" in plan(users)
+
+
+def test_a_difference_carries_no_column_that_is_not_asked_for(spark):
+    gs, _ = nested(spark)
+    later = gs.where("external_id <> 'team:9:in:user:z'").withColumn("immutable", gs.principal_resource_id == "a")
+    found = diff.changes(gs, later, "grants")
+    assert {(r.external_id, r.change, r.immutable) for r in found.collect()} == {("team:9:in:user:z", "deleted", False), ("team:1:in:user:a", "modified", True)}
+    assert found.columns == [*gs.columns, "change"]
+    joined = plan(found.select("external_id", "change")).split("Join FullOuter")[1]
+    assert "discovered_at" not in joined.replace("LogicalRDD", "Relation").split("Relation")[0]
+    assert "struct(" not in joined
