@@ -37,7 +37,10 @@ def changes(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
 
 def additive(base: DataFrame, applied: DataFrame, table: str, sync_id: str) -> DataFrame:
     """R-91: rows of applied whose key base lacks, under a new run (of type partial, its parent the base run)."""
-    return applied.join(base.select(*KEYS[table]), KEYS[table], "left_anti").withColumn("sync_id", F.lit(sync_id)).select(*applied.columns)
+    # An anti-join would go down into each branch of a union, and read the base once for each.
+    known = base.select(*KEYS[table], F.lit(True).alias("_known"))
+    fresh = dealt(applied, *KEYS[table]).join(known, KEYS[table], "left").where(F.col("_known").isNull())
+    return fresh.withColumn("sync_id", F.lit(sync_id)).select(*applied.columns)
 
 
 def upserts(old: DataFrame, new: DataFrame, table: str) -> DataFrame:

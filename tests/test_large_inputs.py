@@ -62,3 +62,11 @@ def test_a_difference_carries_no_column_that_is_not_asked_for(spark):
     joined = plan(found.select("external_id", "change")).split("Join FullOuter")[1]
     assert "discovered_at" not in joined.replace("LogicalRDD", "Relation").split("Relation")[0]
     assert "struct(" not in joined
+
+
+def test_an_addition_reads_the_base_once(spark):
+    gs, _ = nested(spark)
+    base = gs.where("principal_resource_id <> 'z'")
+    found = diff.additive(base, gs.where("resource_id = '9'").union(gs.where("resource_id <> '9'")), "grants", "d")
+    assert {(r.external_id, r.sync_id) for r in found.collect()} == {("team:9:in:user:z", "d")}
+    assert plan(found).count("Join") == 1
