@@ -13,7 +13,7 @@ from ..operators import compact, diff, digests, expand, external, graph, ingest,
 from ..sources import export, star
 from ..sources.star import NEW, OLD
 from ..streaming import feed
-from .lineage import written
+from .lineage import dealt, written
 from .oracle import GRAPH
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -668,7 +668,8 @@ def profile_fields(spark, d):
 @query("SELECT gid, 'bid:g:' || CASE WHEN r.prt IS NOT NULL THEN r.prt || '/' || r.prid || '/' ELSE '' END || g.rt || '/' || g.rid || ':' || g.slug || ':' || g.pt || '/' || g.pid AS bid FROM grants g JOIN resources r ON r.rt = g.rt AND r.rid = g.rid")
 def grant_bids(spark, d):
     g = new(spark, d)
-    own = g.grants.join(g.resources.select(*RESOURCE, F.col("parent.resource_type_id").alias("pt"), F.col("parent.resource_id").alias("pr")), RESOURCE)
+    parents = g.resources.select(*RESOURCE, F.col("parent.resource_type_id").alias("pt"), F.col("parent.resource_id").alias("pr"))
+    own = dealt(g.grants, *RESOURCE).join(parents.hint("merge"), RESOURCE)
     resource = ids.part(F.col("resource_type_id"), F.col("resource_id"), F.col("pt"), F.col("pr"))
     return own.select(F.col("external_id").alias("gid"), ids.grant_bid(resource, F.element_at(F.split("entitlement_id", ":"), -1), ids.part(*map(F.col, PRINCIPAL))).alias("bid"))
 

@@ -1,6 +1,7 @@
 """Plans whose memory, shuffles and passes over the input are to stay in proportion to it."""
 
 from accessloom.operators import diff, expand, graph, lookups
+from accessloom.plans import catalog
 
 from .helpers import entitlements, grants, shown
 
@@ -70,3 +71,9 @@ def test_an_addition_reads_the_base_once(spark):
     found = diff.additive(base, gs.where("resource_id = '9'").union(gs.where("resource_id <> '9'")), "grants", "d")
     assert {(r.external_id, r.sync_id) for r in found.collect()} == {("team:9:in:user:z", "d")}
     assert plan(found).count("Join") == 1
+
+
+def test_bids_deal_grants_by_their_resource(spark):
+    bids = catalog.grant_bids(spark, "/root/testdata/sf0.001")
+    assert "strategy=merge" in plan(bids)
+    assert bids.count() == catalog.new(spark, "/root/testdata/sf0.001").grants.count()
