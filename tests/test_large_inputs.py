@@ -1,7 +1,10 @@
 """Plans whose memory, shuffles and passes over the input are to stay in proportion to it."""
 
-from accessloom.operators import diff, expand, graph, lookups
+from pyspark.sql import functions as F
+
+from accessloom.operators import diff, expand, external, graph, lookups
 from accessloom.plans import catalog
+from accessloom.sources.star import conform
 
 from .helpers import entitlements, grants, shown
 
@@ -73,6 +76,18 @@ def test_an_addition_reads_the_base_once(spark):
     assert plan(found).count("Join") == 1
 
 
+def test_principals_are_merged_with_grants_not_broadcast(spark):
+    gs, _ = nested(spark)
+    rs = conform(spark.createDataFrame([("user", "a", '{"email": "A@x"}')], "resource_type_id string, resource_id string, profile string"), "resources")
+    found = external.candidates(rs, spark.createDataFrame([("user", ["USER"])], "external_id string, traits array<string>"))
+    asked = gs.where("resource_id = '9'")
+    match = lambda kind, key, value: asked.withColumn("external_match", F.struct(F.lit(kind).alias("kind"), F.lit("USER").alias("trait"), F.lit(key).alias("key"), F.lit(value).alias("value")))
+    by_id, by_mail = external.match_id(match("id", "", "a"), found), external.match_key_value(match("kv", "email", "a@X"), found)
+    for df in (by_id, by_mail):
+        assert [r.external_id for r in df.collect()] == ["team:9:in:user:a"]
+        assert "strategy=merge" in plan(df)
+
+
 def test_bids_deal_grants_by_their_resource(spark):
     bids = catalog.grant_bids(spark, "/root/testdata/sf0.001")
     assert "strategy=merge" in plan(bids)
